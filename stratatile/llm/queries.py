@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from .chat import op1_schema_fingerprint_chat
+from .gam import op6_additive_quality
+from .langid import op5_language_mixture
 from .mixing import op10_fair_queue_mix
+from .packing import op4_vector_best_fit
+from .pstable import op7_pstable_vectors
 from .simhash import op9_simhash_byte_index
 from .urlfilter import op8_url_lm_ratio
 
 QUERIES = {
     "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
+    "op4_vector_best_fit": op4_vector_best_fit,
+    "op5_language_mixture": op5_language_mixture,
+    "op6_additive_quality": op6_additive_quality,
+    "op7_pstable_vectors": op7_pstable_vectors,
     "op8_url_lm_ratio": op8_url_lm_ratio,
     "op9_simhash_byte_index": op9_simhash_byte_index,
     "op10_fair_queue_mix": op10_fair_queue_mix,
