@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op1_schema_fingerprint_chat
 from .gam import op6_additive_quality
+from .hmm import op2_hidden_markov
 from .langid import op5_language_mixture
 from .mixing import op10_fair_queue_mix
 from .packing import op4_vector_best_fit
@@ -13,6 +14,7 @@ from .urlfilter import op8_url_lm_ratio
 
 QUERIES = {
     "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
+    "op2_hidden_markov": op2_hidden_markov,
     "op4_vector_best_fit": op4_vector_best_fit,
     "op5_language_mixture": op5_language_mixture,
     "op6_additive_quality": op6_additive_quality,
