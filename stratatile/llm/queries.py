@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op1_schema_fingerprint_chat
 from .gam import op6_additive_quality
 from .hmm import op2_hidden_markov
+from .imatch import op3_imatch_lexicons
 from .langid import op5_language_mixture
 from .mixing import op10_fair_queue_mix
 from .packing import op4_vector_best_fit
@@ -15,6 +16,7 @@ from .urlfilter import op8_url_lm_ratio
 QUERIES = {
     "op1_schema_fingerprint_chat": op1_schema_fingerprint_chat,
     "op2_hidden_markov": op2_hidden_markov,
+    "op3_imatch_lexicons": op3_imatch_lexicons,
     "op4_vector_best_fit": op4_vector_best_fit,
     "op5_language_mixture": op5_language_mixture,
     "op6_additive_quality": op6_additive_quality,
