@@ -1,0 +1 @@
+"""Streaming: layers are built in bounded passes, so there is no streaming operator."""
