@@ -1,0 +1,101 @@
+"""Small archives for tests, written by plain code."""
+
+import gzip
+import json
+
+from stratatile.functions import mvt, wkb
+from stratatile.sources.pmtiles import HEADER_BYTES, ROOT_BYTES, Entry, Header, pack_directory
+
+
+def box(a, b, c, d):
+    return wkb.dump("Polygon", [[(a, b), (c, b), (c, d), (a, d), (a, b)]])
+
+
+def feature(data, **props):
+    return {"wkb": data, "props": props}
+
+
+def zxy_to_id(z, x, y):
+    d, side = 0, 1 << z
+    base = (4**z - 1) // 3
+    s = side // 2
+    while s:
+        rx, ry = int(bool(x & s)), int(bool(y & s))
+        d += s * s * ((3 * rx) ^ ry)
+        if not ry:
+            if rx:
+                x, y = s - 1 - (x & (s - 1)), s - 1 - (y & (s - 1))
+            x, y = y, x
+        x, y = x & (s - 1), y & (s - 1)
+        s //= 2
+    return base + d
+
+
+WORLD = {"vector_layers": [{"id": "earth", "fields": {}}, {"id": "water", "fields": {"kind": "String"}}], "attribution": "&copy; Test"}
+
+
+def smoke_tiles():
+    """All tiles of zooms 0 to 3: earth everywhere, a lake where x is even."""
+    tiles = {}
+    for z in range(4):
+        for x in range(1 << z):
+            for y in range(1 << z):
+                layers = [{"name": "earth", "features": [feature(box(0, 0, 4096, 4096))]}]
+                if x % 2 == 0:
+                    layers.append({"name": "water", "features": [feature(box(1024, 1024, 3072, 3072), kind="lake")]})
+                tiles[zxy_to_id(z, x, y)] = mvt.encode(layers, 4096)
+    return tiles
+
+
+def write(path, tiles, metadata=WORLD, leaf=0, nested=False, runs=None, **header):
+    """``tiles``: payload by id. ``leaf``: entries in a leaf. ``runs``: run length by id."""
+    data, where, entries = b"", {}, []
+    for tile_id in sorted(tiles):
+        payload = tiles[tile_id]
+        if payload not in where:
+            where[payload] = len(data)
+            data += payload
+        entries.append(Entry(tile_id, where[payload], len(payload), (runs or {}).get(tile_id, 1)))
+    leaves = b""
+
+    def pointers(some, size):
+        nonlocal leaves
+        out = []
+        for i in range(0, len(some), size):
+            packed = pack_directory(some[i : i + size])
+            out.append(Entry(some[i].tile_id, len(leaves), len(packed), 0))
+            leaves += packed
+        return out
+
+    root = entries
+    if leaf:
+        root = pointers(entries, leaf)
+        if nested:
+            root = pointers(root, 2)
+    packed = pack_directory(root)
+    described = b"" if metadata is None else gzip.compress(json.dumps(metadata).encode())
+    at = ROOT_BYTES
+    fields = dict(
+        root_length=len(packed), metadata_offset=at, metadata_length=len(described), leaf_offset=at + len(described), leaf_length=len(leaves), data_offset=at + len(described) + len(leaves), data_length=len(data),
+        min_zoom=0, max_zoom=3, min_lon_e7=-1800000000, min_lat_e7=-850511287, max_lon_e7=1800000000, max_lat_e7=850511287,
+    )
+    made = Header(**(fields | header))
+    with open(path, "wb") as f:
+        f.write(made.pack() + packed)
+        f.write(bytes(ROOT_BYTES - HEADER_BYTES - len(packed)))
+        f.write(described + leaves + data)
+    return str(path)
+
+
+def read(path):
+    """(archive, tiles by id, entries) of an archive, by plain code."""
+    from stratatile.sources.pmtiles import open_archive, read_range, split, walk
+
+    archive = open_archive(path)
+    with open(path, "rb") as f:
+        entries, below = split(archive.root, 0, 1 << 62, 1 << 62)
+        for leaf, upto in below:
+            entries += walk(leaf, upto, lambda e: read_range(f, archive.header.leaf_offset + e.offset, e.length), 0, 1 << 62)
+        entries.sort()
+        tiles = {e.tile_id + i: read_range(f, archive.header.data_offset + e.offset, e.length) for e in entries for i in range(e.run_length)}
+    return archive, tiles, entries
