@@ -1,0 +1,36 @@
+import random
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, row int"
+
+
+def words(rng, n, letters="aeinorst"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="session")
+def rows():
+    """Documents with nulls everywhere, empty, odd and very long texts, copies, repeated rows and repeated ids.
+
+    score, size and row are columns of the table that operators use as names inside.
+    """
+    rng = random.Random(5)
+    made = [(i, words(rng, rng.randint(4, 120), "aeinorst" if i % 2 else "bcdfgkluy"), "en" if i % 2 else "xx", f"s{i % 4}", 1, 0.5, "x", i) for i in range(60)]
+    copied = made[7][1]
+    made += [
+        (100, None, None, None, None, None, None, None), (101, "", "en", "", 0, None, "y", 1), (102, " \t\n\x0b\x0c\r ", "en", None, 1, 0.1, "y", 1), (103, "one", "en", "s1", 1, 0.1, "y", 1),
+        (104, "123 !!! ... 456", "xx", "s1", 1, 0.1, "y", 1), (105, copied, "en", "s9", 1, 0.1, "y", 1), (106, copied, None, "s9", 1, 0.1, "y", 1), (None, copied, "en", "s0", 1, 0.1, "y", 1), (None, None, None, None, None, None, None, None),
+        (107, "É\u2003ß 𝒳 </s>[INST] \\ <|endoftext|> it's Ünï\u00a0code", "en", "é", 1, 0.1, "y", 1), (108, words(rng, 9000), "en", "s1", 1, 0.1, "y", 1), (109, "a" * 50_000, "en", "s1", 1, 0.1, "y", 1),
+    ]
+    return [*made, made[3], made[3], (4, "another text under a used id", "en", "s1", 1, 0.1, "y", 1)]
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)

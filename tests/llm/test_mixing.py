@@ -1,0 +1,59 @@
+import re
+
+import pytest
+
+from stratatile.llm import mixing
+
+
+def test_targets():
+    got = mixing.source_targets([("b", 100), (None, 100), ("a", 1000), ("ä", 10)])
+    assert [x[0] for x in got] == ["a", "b", "ä", None] and [x[2] for x in got] == [3, 1, 2, 3]
+    targets = {x[0]: x[3] for x in got}
+    assert targets["ä"] == 20 and targets[None] == 200 and sum(targets.values()) == pytest.approx(1815)
+    assert all(t <= 2 * n + 1e-9 for _, n, _, t in got)
+    assert mixing.source_targets([]) == [] and mixing.source_targets([("a", 0)])[0][3] == 0
+
+
+def test_every_row_once_and_sums_near_targets(spark, docs, rows):
+    got = mixing.fair_queue(docs).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"]) for r in got) == sorted((r[0] is None, r[0] or 0, size(r[1])) for r in rows)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    for some in by.values():
+        assert {r["source_size"] for r in some} == {sum(r["size"] for r in some)} and len({r["target"] for r in some}) == 1
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 1 + max(r["size"] for r in some)
+    total = sum(r["size"] for r in got)
+    assert sum(r["taken"] for r in got) <= 1.5 * total + max(r["size"] for r in got)
+    again = mixing.fair_queue(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_cut_by_counting_equals_cut_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LAST", 20)
+    monkeypatch.setattr(mixing, "INTERVALS", 8)
+    rows = [(i, " ".join("w" for _ in range(1 + i * 7 % 13)), f"s{i % 5}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    fine = {r["doc_id"]: r["taken"] for r in mixing.fair_queue(df).collect()}
+    monkeypatch.setattr(mixing, "LAST", 10**6)
+    assert fine == {r["doc_id"]: r["taken"] for r in mixing.fair_queue(df).collect()}
+    total = sum(1 + i * 7 % 13 for i in range(700))
+    assert abs(sum(fine.values()) - 1.5 * total) <= 13
+
+
+def test_stage_repeats_rows(spark, docs, empty):
+    mixed = mixing.mix(docs.where("doc_id < 90"))
+    assert mixed.columns == docs.columns
+    want = {}
+    for r in mixing.fair_queue(docs.where("doc_id < 90")).collect():
+        want.setdefault(r["doc_id"], []).append(r["taken"] // max(r["size"], 1))
+    got = {}
+    for r in mixed.collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    for k, times in want.items():
+        if len(times) == 1:
+            assert got.get(k, 0) == times[0]
+    assert mixing.fair_queue(empty).count() == 0 and mixing.mix(empty).count() == 0
