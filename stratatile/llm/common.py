@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from ..shipping import ship
 
 #: A word is a run of bytes other than space and \t..\r.
@@ -23,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir.
-
-    Only a local session may go without that setting; it then uses the
-    temporary folder of this machine.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'stratatile-checkpoints')}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/stratatile-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     """A-Z to a-z and nothing else (Spark's lower() follows Unicode)."""
     return F.translate(col, UPPER, LOWER)
@@ -55,6 +32,13 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that Python objects exist for few rows at a time."""
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(i, rows)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words; bytes.split() breaks at exactly \\x20 and \\x09-\\x0D."""
     return text.lower().split()

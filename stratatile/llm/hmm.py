@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes, words_of
+from .common import in_slices, materialize, table, text_bytes, words_of
 from .langid import held_out
 
 #: Distinct words that a task counts before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 250_000
 #: Tokens that go through the recursion together, and the length of training windows.
 TOGETHER, WINDOW = 1_000_000, 2_048
+#: Tokens of a sampled text that the start of training uses, at most.
+START_TOKENS = 4_096
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter(), Counter()]
-        for b in batches:
+        for b in in_slices(batches):
             for trains, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
                 counts[trains].update(words_of(text))
                 if len(counts[0]) + len(counts[1]) > FLUSH:
@@ -99,7 +101,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(vocabulary.words)}
         rare, end = vocabulary.rare, vocabulary.end
-        for b in batches:
+        for b in in_slices(batches):
             columns: list[list] = [[] for _ in range(7)]
             for text in text_bytes(b.column(2)):
                 words = words_of(text)
@@ -183,7 +185,7 @@ def forward(model: HiddenMarkov, codes: np.ndarray, starts: np.ndarray, keep: bo
 def log10_likelihoods(model: HiddenMarkov, texts: list[np.ndarray], idle: int) -> np.ndarray:
     """log10 of the probability of each code sequence."""
     out = np.zeros(len(texts))
-    for some in in_groups(texts, 4 * TOGETHER):
+    for some in in_groups(texts, 2 * TOGETHER):
         codes, starts, _, lane, first = laid_out([texts[i] for i in some], idle)
         scale, _ = forward(model, codes, starts, keep=False)
         logs = np.log10(scale, dtype=np.float64).T
@@ -308,13 +310,8 @@ def score_sequences(docs: DataFrame, states: int = 6, vocabulary: int = 65_536,
     v = Vocabulary(tuple(bytes(r["word"]) for r in top), np.array([*(r["trained"] for r in top), seen - top_seen, ends], float), seen + ends, distinct + (ends > 0), distinct - sum(r["trained"] > 0 for r in top))
     encoded = materialize(encode(docs, v).withColumn("row", F.monotonically_increasing_id()), "codes")
 
-    first = encoded.where("trains").orderBy(F.xxhash64("doc_id"), "row").select("codes").limit(sample).collect()
-    some, room = [], 1_000_000
-    for r in first:  # at most ``sample`` texts and a million tokens
-        some.append(np.frombuffer(r["codes"], np.int32)[:room])
-        room -= len(some[-1])
-        if room <= 0:
-            break
+    first = encoded.where("trains").orderBy(F.xxhash64("doc_id"), "row").limit(sample).select(F.substring("codes", 1, 4 * START_TOKENS).alias("codes")).collect()
+    some = [np.frombuffer(r["codes"], np.int32) for r in first]
     model = started(some, v, states, strength)
     for _ in range(passes):
         model = baum_welch(encoded, model, v, strength)
