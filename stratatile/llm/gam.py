@@ -147,14 +147,17 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float =
         g, h = (a.reshape(shape) for a in slopes(b[:, i] * shape[1] + b[:, j], shape[0] * shape[1]))
         v = _tree2(g, h, 2, ridge)
         found.append((float((v * g).sum()), i, j))
-    for _, i, j in sorted(found, reverse=True)[:pairs]:
-        t = np.zeros((len(model.tables[i]), len(model.tables[j])))
-        cells = b[:, i] * t.shape[1] + b[:, j]
-        for _ in range(rounds // 4):
+    model.pairs = [(i, j, np.zeros((len(model.tables[i]), len(model.tables[j])))) for _, i, j in sorted(found, reverse=True)[:pairs]]
+    for _ in range(rounds // 3):  # pairs and single features in turn, as each changes what the others have to explain
+        for i, j, t in model.pairs:
+            cells = b[:, i] * t.shape[1] + b[:, j]
             step = rate * _tree2(*(a.reshape(t.shape) for a in slopes(cells, t.size)), depth + 1, ridge)
             t += step
             total += step[b[:, i], b[:, j]]
-        model.pairs.append((i, j, t))
+        for j, t in enumerate(model.tables):
+            step = rate * _tree(*slopes(b[:, j], len(t)), depth, ridge)
+            t += step
+            total += step[b[:, j]]
     return model
 
 

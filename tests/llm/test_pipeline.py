@@ -1,0 +1,43 @@
+import pytest
+
+import corpus_pipeline
+from stratatile.llm import packing
+
+
+@pytest.fixture
+def folder(tmp_path, spark, docs):
+    def at(some):
+        some.write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 7 != 3), 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        return str(tmp_path)
+
+    return at
+
+
+def test_stages_work_on_what_the_one_before_kept(spark, folder, docs):
+    path = folder(docs)
+    some = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, some, path)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{path}/{name}")
+        before, some = some, spark.read.parquet(f"{path}/{name}")
+        ids = {r["doc_id"] for r in some.select("doc_id").collect()}
+        assert ids <= {r["doc_id"] for r in before.select("doc_id").collect()} and ids
+    last = corpus_pipeline.STAGES[-1][1](spark, some, path).collect()
+    assert sum(r["piece"] == 0 for r in last) == some.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "SimHash near-dedup", "mixing sources to target weights", "best-fit packing"]
+    assert not {100, 101, 102, 104, 105, 106} & ids
+
+
+def test_run_equals_the_stages_and_keeps_limits(spark, folder, docs):
+    path = folder(docs)
+    done = corpus_pipeline.run(spark, path).collect()
+    room = {}
+    for r in done:
+        room[r["sequence_id"]] = room.get(r["sequence_id"], 0) + r["length"]
+    assert done and max(room.values()) <= packing.Limits().tokens
+
+
+def test_no_documents(spark, folder, empty):
+    assert corpus_pipeline.run(spark, folder(empty)).count() == 0
