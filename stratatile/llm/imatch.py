@@ -90,7 +90,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def imatch(docs: DataFrame, subsets: int = 16, terms: int = 32, rarest: int = 2, commonest: float = 0.05) -> DataFrame:
+def imatch(docs: DataFrame, subsets: int = 32, terms: int = 32, rarest: int = 2, commonest: float = 0.05) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The band: terms in at least ``rarest`` texts and at most the share
@@ -129,7 +129,7 @@ def imatch(docs: DataFrame, subsets: int = 16, terms: int = 32, rarest: int = 2,
         one = lambda some, s: F.filter(some, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(subsets - 1)) == s)
         cut = lambda some: F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: one(some, s))
         parts = [cut(deeper(k)) for k in range(LEVELS)]
-        parts = [F.transform(p, lambda some: F.when(F.size(some) > 0, F.substring(F.lower(F.hex(F.xxhash64(some))), -8, 8)).otherwise(F.lit("."))) for p in parts]
+        parts = [F.transform(p, lambda some: F.when(F.size(some) > 0, F.substring(F.lower(F.hex(F.xxhash64(some))), -6, 6)).otherwise(F.lit("."))) for p in parts]
         return F.concat_ws(":", level.cast("string"), *[F.array_join(p, ",") for p in parts])
 
     def name(kept: str, level: str, otherwise: str) -> Column:
