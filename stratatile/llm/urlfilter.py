@@ -80,7 +80,7 @@ def train_ratio(labelled: DataFrame, strength: float = 2.0) -> DataFrame:
     """
     counts = materialize(labelled.select("accepted", F.explode("grams").alias("g")).groupBy("g").agg(F.sum(F.col("accepted").cast("long")).alias("ca"), F.sum((~F.col("accepted")).cast("long")).alias("cr")), "url-counts")
     three = counts.select("g", (F.col("g") % (SYMBOLS * SYMBOLS)).alias("yz"), F.floor(F.col("g") / SYMBOLS).alias("xy"), (F.col("g") % SYMBOLS).alias("z"), "ca", "cr")
-    total = three.agg(F.sum("ca").alias("na"), F.sum("cr").alias("nr"))
+    total = three.agg(F.sum("ca").alias("na"), F.sum("cr").alias("nr")).first()
     one = three.groupBy("z").agg(F.sum("ca").alias("ca"), F.sum("cr").alias("cr"))
     two = three.groupBy("yz").agg(F.sum("ca").alias("ca"), F.sum("cr").alias("cr"))
     y = two.groupBy(F.floor(F.col("yz") / SYMBOLS).alias("y")).agg(F.sum("ca").alias("na"), F.sum("cr").alias("nr"))
@@ -90,8 +90,7 @@ def train_ratio(labelled: DataFrame, strength: float = 2.0) -> DataFrame:
         return (F.col(count) + F.lit(strength) * below) / (F.col(of) + F.lit(strength))
 
     flat = F.lit(1.0 / SYMBOLS)
-    # a single total row meets every character by a constant key
-    p1 = one.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").select("z", p("ca", "na", flat).alias("pa"), p("cr", "nr", flat).alias("pr"))
+    p1 = one.withColumns({"na": F.lit(total["na"] or 0), "nr": F.lit(total["nr"] or 0)}).select("z", p("ca", "na", flat).alias("pa"), p("cr", "nr", flat).alias("pr"))
     p2 = two.withColumn("z", F.col("yz") % SYMBOLS).withColumn("y", F.floor(F.col("yz") / SYMBOLS)).join(p1, "z").join(y, "y").select("yz", p("ca", "na", F.col("pa")).alias("pa"), p("cr", "nr", F.col("pr")).alias("pr"))
     p3 = three.select("g", "yz", "xy", "ca", "cr").join(p2, "yz").join(xy, "xy").select("g", p("ca", "na", F.col("pa")).alias("pa"), p("cr", "nr", F.col("pr")).alias("pr"))
     ratio = F.log(F.col("pa") / F.col("pr")).alias("ratio")
