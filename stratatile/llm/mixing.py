@@ -148,7 +148,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     quoted = lambda c: docs["`" + c.replace("`", "``") + "`"]
     got = fair_queue(docs, **how).where("taken > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).cast("int").alias("times"))
     times = got.select(F.col("doc_id").alias("_id"), F.col("times").alias("_times"))
-    joined = docs.select(F.struct(*[quoted(c) for c in names]).alias("_doc")).join(times, F.col("_doc.doc_id").eqNullSafe(F.col("_id")))
+    joined = docs.select(F.struct(*[quoted(c) for c in names]).alias("_doc")).join(times.hint("merge"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")))
     return joined.select("_doc", F.explode(F.expr("sequence(1, _times)")).alias("_k")).select(*[F.col("_doc").getField(c).alias(c) for c in names])
 
 

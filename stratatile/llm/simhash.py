@@ -148,7 +148,8 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """
     kept = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
     kept = materialize(kept, "kept")
-    named = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    # always by a shuffle: a broadcast would be chosen for small tables alone, and plans should be alike at every size
+    named = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
