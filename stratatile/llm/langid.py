@@ -97,7 +97,7 @@ class LanguageModel:
         best = -n * np.log(BUCKETS)  # the empty set
         chosen = np.zeros(len(at), np.int64)
         single = np.log(np.maximum(np.take_along_axis(p, np.repeat(order[:, :1], widths, axis=0), 1)[:, 0], 1e-30))
-        value = np.add.reduceat(single * count, starts) - penalty * np.log(n + 1)
+        value = np.add.reduceat(single * count, starts)  # the penalty is for languages beyond the first
         chosen[value > best] = 1
         best = np.maximum(best, value)
         shares = np.zeros_like(theta)
@@ -112,7 +112,7 @@ class LanguageModel:
             allowed = np.zeros((len(mixed), len(self.languages)), np.float32)
             np.put_along_axis(allowed, order[mixed, :k], np.take_along_axis(np.maximum(theta[mixed], 1e-3), order[mixed, :k], 1), 1)
             fit, like = self._em(p[rows], count[rows], s, w, n[mixed], allowed / allowed.sum(1, keepdims=True), 4)
-            value = like - penalty * k * np.log(n[mixed] + 1)
+            value = like - penalty * (k - 1) * np.log(n[mixed] + 1)
             better = value > best[mixed]
             won = mixed[better]
             best[won], chosen[won], shares[won] = value[better], k, fit[better]

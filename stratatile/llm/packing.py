@@ -32,6 +32,8 @@ from .common import materialize, table, text_bytes
 
 END = (1).to_bytes(4, "little")
 CACHE_WORDS = 250_000
+#: Pieces for each slice of a length, if all had one length.
+SLICE_PIECES = 500_000
 #: A word of letters whose lower case and normal form are plain, then punctuation.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -194,8 +196,9 @@ def plan_bins(counts: dict[int, int], limits: Limits) -> tuple[dict[int, list[tu
     return runs, total
 
 
-def pack_pieces(pieces: DataFrame, limits: Limits, slices: int = 64) -> DataFrame:
+def pack_pieces(pieces: DataFrame, limits: Limits) -> DataFrame:
     """Adds sequence_id and offset to written ``pieces`` with a length column."""
+    slices = max(64, pieces.count() // SLICE_PIECES)
     counted = pieces.groupBy("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).alias("slice")).agg(F.count("*").alias("n"))
     by_length = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # limits.tokens rows at most
     runs, _ = plan_bins(by_length, limits)

@@ -1,14 +1,11 @@
 import random
 
 import pytest
+from texts import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, row int"
 
 
-def words(rng, n, letters="aeinorst"):
-    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def rows():
     """Documents with nulls everywhere, empty, odd and very long texts, copies, repeated rows and repeated ids.

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import words
+from texts import words
 
 from stratatile.llm import langid
 
