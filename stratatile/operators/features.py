@@ -31,6 +31,18 @@ def text(feature: Column, key: str) -> Column:
     return F.try_element_at(feature["props"], F.lit(key))["s"]
 
 
+def number(feature: Column, key: str) -> Column:
+    """A property as a number, or null if it is missing or not one."""
+    value = F.try_element_at(feature["props"], F.lit(key))
+    return F.coalesce(value["d"], value["i"].cast("double"))
+
+
+def truthy(feature: Column, key: str) -> Column:
+    """Whether a property is there and not false, zero or empty, as Python tests it."""
+    value = F.try_element_at(feature["props"], F.lit(key))
+    return F.coalesce(value["b"], F.coalesce(value["d"], value["i"].cast("double")) != 0, value["s"] != "", F.lit(False))
+
+
 def is_not(value: Column, unwanted: str) -> Column:
     """True too where the value is missing, as plain <> is not."""
     return ~value.eqNullSafe(F.lit(unwanted))
