@@ -60,6 +60,25 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("trains", "text").mapInArrow(run, "word binary, trained long, everywhere long").groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("everywhere").alias("everywhere"))
 
 
+def frequent_words(words: DataFrame, most: int) -> list:
+    """The rows of words that training has twice, from the most frequent down, ``most`` at most.
+
+    Found by the number of words in each sixteenth of an octave of frequency;
+    the last octave part that doesn't fit wholly is left out. A top-k would
+    send ``most`` rows from every task to the driver.
+    """
+    part = F.floor(F.log2("everywhere") * 16)
+    twice = words.where("trained > 1")
+    left, lowest = most, None
+    for r in sorted(twice.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r["n"] > left:
+            break
+        left, lowest = left - r["n"], r["part"]
+    if lowest is None:
+        return []
+    return sorted(twice.where(part >= lowest).collect(), key=lambda r: (-r["everywhere"], bytes(r["word"])))
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Codes 0.. are frequent words, then the class of all others, then the end."""
@@ -302,7 +321,7 @@ def score_sequences(docs: DataFrame, states: int = 6, vocabulary: int = 65_536,
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("trains", F.lit(False)).alias("trains"), "text")
     words = materialize(count_words(docs), "words")
-    top = words.where("trained > 1").orderBy(F.desc("everywhere"), "word").limit(vocabulary).collect()
+    top = frequent_words(words, vocabulary)
     sums = words.agg(F.sum("trained").alias("n"), F.sum((F.col("trained") > 0).cast("long")).alias("v")).first()
     ends = docs.where("trains").count()
     seen, distinct = sums["n"] or 0, sums["v"] or 0
