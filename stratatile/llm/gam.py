@@ -7,7 +7,7 @@ residual get a table over both their bins. A score is the sum of looked-up
 values: additions over whole columns of bins.
 
 Features of all rows are computed in one pass over the texts. Labels may be a
-bounded sample (``max_rows`` labelled rows with the smallest hash of their id).
+bounded sample (about ``max_rows`` labelled rows, chosen by a hash of their id).
 """
 
 from __future__ import annotations
@@ -164,7 +164,10 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float =
 def train_quality(rows: DataFrame, labels: DataFrame, max_rows: int = 50_000) -> AdditiveModel:
     """Model of label ``quality`` (0 or 1) from feature ``rows``; of repeated labels the lowest counts."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    sample = rows.join(marks, "doc_id").select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).toPandas()
+    n = marks.count()
+    if n > max_rows:  # a share of them by a hash of the id; a top-k would send max_rows from every task
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    sample = rows.join(marks, "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(sample["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit_additive(x, sample["y"].to_numpy(float))
 
