@@ -329,8 +329,10 @@ def score_sequences(docs: DataFrame, states: int = 6, vocabulary: int = 65_536,
     v = Vocabulary(tuple(bytes(r["word"]) for r in top), np.array([*(r["trained"] for r in top), seen - top_seen, ends], float), seen + ends, distinct + (ends > 0), distinct - sum(r["trained"] > 0 for r in top))
     encoded = materialize(encode(docs, v).withColumn("row", F.monotonically_increasing_id()), "codes")
 
-    first = encoded.where("trains").orderBy(F.xxhash64("doc_id"), "row").limit(sample).select(F.substring("codes", 1, 4 * START_TOKENS).alias("codes")).collect()
-    some = [np.frombuffer(r["codes"], np.int32) for r in first]
+    # about ``sample`` texts, by a hash of id and text: a top-k would send as many from every task
+    place = F.pmod(F.xxhash64("doc_id", "codes"), F.lit(1 << 30))
+    first = encoded.where("trains").where(place < int((1 << 30) * min(1.0, sample / max(ends, 1)))).select(place.alias("place"), F.substring("codes", 1, 4 * START_TOKENS).alias("codes")).collect()
+    some = [np.frombuffer(r["codes"], np.int32) for r in sorted(first, key=lambda r: (r["place"], bytes(r["codes"])))]
     model = started(some, v, states, strength)
     for _ in range(passes):
         model = baum_welch(encoded, model, v, strength)
