@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_bytes
+from .common import in_slices, materialize, table, text_bytes
 from .langid import held_out
 
 FEATURES = (
@@ -68,7 +68,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, x array<float>) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             x = np.array([features(t) for t in text_bytes(b.column(1))], np.float32).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
 
@@ -188,7 +188,7 @@ def keep_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             x = np.array([features(t) for t in text_bytes(b.column(at))], np.float32).astype(np.float64).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 

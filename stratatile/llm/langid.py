@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_slices, table
 
 BUCKETS = 1 << 16
 #: Characters that are worked on at a time.
@@ -139,7 +139,7 @@ def train_languages(labelled: DataFrame, smoothing: float = 0.1, max_languages:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((max(len(names), 1), BUCKETS), np.int64)
-        for b in batches:
+        for b in in_slices(batches):
             langs, texts = np.array([place.get(x, -1) for x in b.column(0).to_pylist()]), b.column(1).to_pylist()
             for start, some in in_steps(texts):
                 doc, bucket = trigrams(some)
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 2.0) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             main, share, size = model.infer(b.column(1).to_pylist(), penalty)
             names = np.array([*model.languages, "und"], object)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[main], pa.string()), pa.array(np.clip(share, 0, 1)), pa.array(size)], names=["doc_id", "lang_pred", "score", "n_languages"])
@@ -185,7 +185,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, penalty: float = 2.0)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             main, _, size = model.infer(b.column(at).to_pylist(), penalty)
             yield b.filter(pa.array((main >= 0) & (size > 0)))
 

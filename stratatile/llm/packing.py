@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table, text_bytes
+from .common import in_slices, materialize, table, text_bytes
 
 END = (1).to_bytes(4, "little")
 CACHE_WORDS = 250_000
@@ -101,7 +101,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 4096, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
-        for b in batches:
+        for b in in_slices(batches):
             of, piece, length, crc, ids = [], [], [], [], []
             for i, text in enumerate(text_bytes(b.column(1))):
                 whole = tokenizer.ids(text) + END

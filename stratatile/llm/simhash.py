@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table, text_bytes, words_of
+from .common import connected_components, in_slices, materialize, table, text_bytes, words_of
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; the long has the 64 bits of the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             fps = np.array([simhash(t, width) for t in text_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
