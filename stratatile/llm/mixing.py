@@ -71,8 +71,14 @@ def fair_queue(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget_sha
     never taken; a null source is a source of its own; repeated rows queue one
     by one. Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    queued = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()).withColumn("u", F.xxhash64("doc_id", "size", F.lit(seed))), "queue")
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id())
+    return _queue(rows, weights, budget_share, max_passes, seed).drop("row")
+
+
+def _queue(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), budget_share: float = 1.5, max_passes: int = 2, seed: int = 17) -> DataFrame:
+    """fair_queue of ``rows(doc_id, source, size, row)``, with row."""
+    spark = rows.sparkSession
+    queued = materialize(rows.withColumn("u", F.xxhash64("doc_id", "size", F.lit(seed))), "queue")
     sums = queued.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     shares = [(i, *x) for i, x in enumerate(source_targets([(r["source"], r["n"]) for r in sums], weights, budget_share, max_passes))]
     kinds = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("source_of", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("target", T.DoubleType())])
@@ -88,7 +94,7 @@ def fair_queue(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget_sha
     entries = timed.where("size > 0 and target > 0").select("rank", "row", "u", "size", "upto", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1))).alias("pass")).withColumn("time", finish("pass"))
     cut = find_cut(entries, budget_share * sum(n for _, _, n, _, _ in shares))
     taken = sum((F.when(_not_after(finish(F.lit(k)), cut), F.col("size")).otherwise(F.lit(0)) for k in range(max_passes)), F.lit(0))
-    return timed.select("doc_id", "source", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return timed.select("row", "doc_id", "source", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(F.lit(0)).cast("long").alias("taken"))
 
 
 def finish(which) -> Column:
@@ -142,13 +148,15 @@ def find_cut(entries: DataFrame, budget: float) -> tuple | None:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
 
-    Rows with a null or repeated doc_id share the sum of what they take.
+    Each row comes as often as the queue took that row, whatever its doc_id.
     """
     names = docs.columns
     quoted = lambda c: docs["`" + c.replace("`", "``") + "`"]
-    got = fair_queue(docs, **how).where("taken > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).cast("int").alias("times"))
-    times = got.select(F.col("doc_id").alias("_id"), F.col("times").alias("_times"))
-    joined = docs.select(F.struct(*[quoted(c) for c in names]).alias("_doc")).join(times.hint("merge"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")))
+    # row numbers are only the same in both uses once they are written
+    rows = materialize(docs.select(F.struct(*[quoted(c) for c in names]).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "rows")
+    narrow = rows.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), word_count(F.col("_doc.text")).alias("size"), F.col("_row").alias("row"))
+    times = _queue(narrow, **how).where("taken > 0").select(F.col("row").alias("_row"), F.expr("cast(taken div size as int)").alias("_times"))
+    joined = rows.join(times.hint("merge"), "_row")
     return joined.select("_doc", F.explode(F.expr("sequence(1, _times)")).alias("_k")).select(*[F.col("_doc").getField(c).alias(c) for c in names])
 
 

@@ -57,3 +57,14 @@ def test_stage_repeats_rows(spark, docs, empty):
         if len(times) == 1:
             assert got.get(k, 0) == times[0]
     assert mixing.fair_queue(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_each_row_as_often_as_the_queue_took_it(spark):
+    """Null and repeated ids in several sources: every row has a size of its own, so copies can be told."""
+    rows = [(None if i % 2 else i % 5, " ".join(["w"] * (i + 1)), f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {r["size"]: r["taken"] // r["size"] for r in mixing.fair_queue(df).collect() if r["taken"]}
+    got = {}
+    for r in mixing.mix(df).collect():
+        got[len(r["text"].split())] = got.get(len(r["text"].split()), 0) + 1
+    assert got == want and set(want.values()) == {1, 2} and len(want) < 90
