@@ -44,24 +44,41 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges(a, b)``; component: the smallest node reachable.
 
-    Rounds of minimum over the neighbours and pointer jumping, each written to
-    the shared folder; the number of rounds grows with the logarithm of the
-    longest path. Only min() aggregates meet at a node with many edges.
+    Each round hooks every node to the neighbour that comes first in an order
+    hashed anew, itself included, jumps pointers until they name roots, and
+    goes on with the edges between roots. At least half of the nodes that have
+    an edge are hooked on average, whatever the shape of the graph, and one is
+    always, so the rounds end by themselves; all tables shrink with the nodes.
+    Only min() aggregates meet at a node with many edges.
     """
-    spark = edges.sparkSession
-    one_way = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    both = materialize(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("up"))
-        jump = labels.select(F.col("node").alias("up"), F.col("component").alias("above"))
-        stepped = hooked.join(jump, "up").select("node", F.least("up", "above").alias("component"), (F.least("up", "above") < F.col("old")).alias("moved"))
-        stepped = materialize(stepped, "labels")
-        labels = stepped.select("node", "component")
+    left = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        place = lambda c, r=len(rounds): F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("n"))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first"))
+        up = _roots(materialize(near.select("node", F.least("first", place("node"))["n"].alias("up")), "hooks"))
+        rounds.append(up)
+        ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+        left = materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    done = rounds.pop()
+    while rounds:  # roots of a round that had edges left are nodes of the next
+        above = done.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        done = materialize(rounds.pop().join(above, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "labels")
+    lowest = done.groupBy("up").agg(F.min("node").alias("component"))
+    return materialize(done.join(lowest, "up").select("node", "component"), "labels")
+
+
+def _roots(hooks: DataFrame) -> DataFrame:
+    """(node, up) with the root of each node, from a forest of (node, up) whose roots name themselves."""
+    while True:
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
+        stepped = materialize(hooks.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "hooks")
+        hooks = stepped.select("node", "up")
         if stepped.where("moved").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            return hooks

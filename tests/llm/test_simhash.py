@@ -98,3 +98,14 @@ def test_components_of_long_chains(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a long, b long"))
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def test_components_of_a_path_in_any_order(spark):
+    """A path and a ring through thousands of nodes whose ids say nothing of their places."""
+    from stratatile.llm.common import connected_components
+
+    ids = [int(x) for x in np.random.default_rng(4).permutation(6000) - 3000]
+    path, ring = ids[:4000], ids[4000:]
+    edges = [*zip(path, path[1:], strict=False), *zip(ring, ring[1:] + ring[:1], strict=True)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(path, min(path)), **dict.fromkeys(ring, min(ring))}
