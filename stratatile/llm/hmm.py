@@ -1,21 +1,29 @@
 """Hidden Markov language model.
 
 Tokens are the lower-cased words of a text and one end. The model has
-``states`` latent states. The most frequent words (``vocabulary`` of them at
-most, each seen twice in training) and the end have emission probabilities of
-their own in every state; all other words are one class there, and share that
-class's probability by their smoothed training counts. Words seen once are in
-the class, so it has the weight that unseen words will need. So the tables that workers hold are bounded by ``states`` x
-``vocabulary``, while the counts of all words stay a distributed table.
-
-Training: a start from a bounded sample (it only breaks the symmetry of the
-states), then ``passes`` of Baum-Welch whose expected counts come from all
-training texts, summed over partitions. Scoring: the scaled forward recursion
-over each whole text.
-
-In both, many texts go through the recursion side by side: they are laid end
-to end in lanes, and a lane starts anew from the initial distribution at each
-text's first token.
+``states`` latent states. Words fall into classes by a hash, the end is a class
+of its own; a state emits a class, and a word has a share of its class:
+
+    P(word | state) = P(class | state) * c / (N + u)
+
+with c the training count of the word, N the training tokens of its class and u
+what all words of the class that training lacks have together: the number of
+words that training has once over the number of classes (Good and Turing's
+estimate). So every word is treated alike, frequent or not, at every size of
+the corpus: what workers hold is a table of ``classes`` x ``states``, and the
+counts of words, which grow with the corpus, stay a distributed table.
+
+Training: a start from what surrounds each class in all training texts (classes
+that are followed and preceded alike start in one state), then ``passes`` of
+Baum-Welch whose expected counts come from all whole training texts, summed
+over partitions. Scoring: the scaled forward recursion over each whole text in
+double precision. Texts that don't train have no part in any of it.
+
+Many texts go through the recursion side by side: they are laid end to end in
+lanes, and a lane starts anew from the initial distribution at each text's
+first token. Long lanes are worked on in stretches whose forward variables are
+recomputed from the one that entered the stretch, so memory doesn't grow with
+the length of a text.
 """
 
 from __future__ import annotations
@@ -26,123 +34,167 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialize, table, text_bytes, words_of
+from .common import in_slices, in_workers, materialize, table, text_bytes, words_of
 from .langid import held_out
 
-#: Distinct words that a task counts before it hands them on.
+SEED = 42
+#: Classes of words; with the end they are 16-bit numbers.
+CLASSES = (1 << 16) - 1
+#: Distinct words that a task counts, and classes that it remembers, before it hands them on or starts anew.
 FLUSH = 250_000
-#: Tokens that go through the recursion together, and the length of training windows.
-TOGETHER, WINDOW = 1_000_000, 2_048
-#: Tokens of a sampled text that the start of training uses, at most.
-START_TOKENS = 4_096
+#: Tokens that go through the recursion together.
+TOGETHER = 1_000_000
+#: A word with at least this share of the training tokens is looked up from a broadcast: there are 1 / HEAVY at most.
+HEAVY = 2e-5
+#: Kinds of neighbours that the start tells apart.
+KINDS = 16
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, trained long, everywhere long) of ``docs(trains, text)``; ends are not words."""
+def class_of(word: bytes, classes: int) -> int:
+    """The same number as pmod(xxhash64(word), classes) in SQL."""
+    h = xxhash.xxh64_intdigest(word, SEED)
+    return (h - (1 << 64) if h >> 63 else h) % classes
 
-    def rows(counts: list[Counter]) -> pa.RecordBatch:
-        words = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] + counts[1][w] for w in words], pa.int64())], names=["word", "trained", "everywhere"])
+
+class Classes(dict):
+    """Classes by word, hashed when first met; forgets when it holds too many."""
+
+    def __init__(self, classes: int) -> None:
+        super().__init__()
+        self.classes = classes
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+        c = self[word] = class_of(word, self.classes)
+        return c
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word binary, trained long) of ``texts(text)``; ends are not words."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "trained"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter(), Counter()]
+        counts: Counter = Counter()
         for b in in_slices(batches):
-            for trains, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                counts[trains].update(words_of(text))
-                if len(counts[0]) + len(counts[1]) > FLUSH:
+            for text in text_bytes(b.column(0)):
+                counts.update(words_of(text))
+                if len(counts) > FLUSH:
                     yield rows(counts)
-                    counts = [Counter(), Counter()]
+                    counts = Counter()
         yield rows(counts)
 
-    return docs.select("trains", "text").mapInArrow(run, "word binary, trained long, everywhere long").groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("everywhere").alias("everywhere"))
-
-
-def frequent_words(words: DataFrame, most: int) -> list:
-    """The rows of words that training has twice, from the most frequent down, ``most`` at most.
-
-    Found by the number of words in each sixteenth of an octave of frequency;
-    the last octave part that doesn't fit wholly is left out. A top-k would
-    send ``most`` rows from every task to the driver.
-    """
-    part = F.floor(F.log2("everywhere") * 16)
-    twice = words.where("trained > 1")
-    left, lowest = most, None
-    for r in sorted(twice.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        if r["n"] > left:
-            break
-        left, lowest = left - r["n"], r["part"]
-    if lowest is None:
-        return []
-    return sorted(twice.where(part >= lowest).collect(), key=lambda r: (-r["everywhere"], bytes(r["word"])))
+    return in_workers(texts.select("text"), run, "word binary, trained long").groupBy("word").agg(F.sum("trained").alias("trained"))
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Codes 0.. are frequent words, then the class of all others, then the end."""
+    """Training counts of the classes of words and, last, of the end; ``heavy`` has the counts of the commonest words."""
 
-    words: tuple[bytes, ...]
-    trained: np.ndarray  # training count of each code
-    tokens: int  # all training tokens, ends too
-    distinct: int  # distinct training tokens
-    rare_distinct: int  # distinct training words in the class
+    trained: np.ndarray
+    types: int  # distinct training tokens, the end among them
+    unseen: float  # u: weight of what training lacks, for each class
+    heavy: dict[bytes, int]
 
     @property
-    def rare(self) -> int:
-        return len(self.words)
+    def end(self) -> int:
+        return len(self.trained) - 1
 
     @property
-    def end(self) -> int:
-        return len(self.words) + 1
+    def tokens(self) -> int:
+        return int(self.trained.sum())
 
     @property
-    def size(self) -> int:
-        return len(self.words) + 2
+    def log_shares(self) -> np.ndarray:
+        """log10 of the denominator of each class's shares; the end is all of its class."""
+        out = np.log10(self.trained + self.unseen)
+        out[self.end] = 0
+        return out
 
     @property
-    def rare_total(self) -> float:
-        """Denominator of the class's shares: its counts, one for each of its words, one for all unseen."""
-        return float(self.trained[self.rare] + self.rare_distinct + 1)
+    def base(self) -> np.ndarray:
+        """Smoothed distribution of the classes."""
+        counts = self.trained + self.unseen
+        return counts / counts.sum()
+
+    def reestimated(self, initial: np.ndarray, moves: np.ndarray, emits: np.ndarray, strength: float) -> HiddenMarkov:
+        """Probabilities from expected counts.
+
+        A state has its share of the unseen, and is smoothed with ``strength`` tokens of the base distribution.
+        """
+        moves = moves + 1.0
+        emits = emits + self.unseen * emits.sum(0) / max(emits.sum(), 1e-300) + strength * self.base[:, None]
+        return HiddenMarkov((initial + 1) / (initial + 1).sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(0))
+
 
+def learn_vocabulary(words: DataFrame, ends: int, classes: int) -> Vocabulary:
+    """From written ``words(word, trained)``: one row for each class, and the rows of 1 / HEAVY words at most."""
+    trained = np.zeros(classes + 1)
+    sums = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(classes)).alias("class")).agg(F.sum("trained").alias("n"), F.count("*").alias("v"), F.sum((F.col("trained") == 1).cast("long")).alias("once")).toPandas()
+    trained[sums["class"]] = sums["n"]
+    trained[classes] = ends
+    heavy = words.where(F.col("trained") >= F.lit(HEAVY * trained.sum())).collect()
+    return Vocabulary(trained, int(sums["v"].sum()) + (ends > 0), max(float(sums["once"].sum()), 1.0) / classes, {bytes(r["word"]): r["trained"] for r in heavy})
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, trains, n_tokens, n_rare, top_known, top_log, codes (int32 bytes), rare words and their counts.
 
-    top_known, top_log: of tokens that aren't in the class, how many occur in
-    training, and the sum of log10(count + 1).
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, trains, n_tokens, heavy, heavy_base, heavy_log, share_log, codes (uint16 bytes), other words and their counts.
+
+    heavy, heavy_base, heavy_log: how many tokens are heavy words, and their
+    sums of log10(count + 1) and log10(count); share_log: the sum of the
+    denominators of all shares.
     """
-    fields = "doc_id long, trains boolean, n_tokens long, n_rare long, top_known long, top_log double, codes binary, rare array<binary>, times array<int>"
-    known, logs = vocabulary.trained > 0, np.log10(vocabulary.trained + 1.0)
-    known[vocabulary.rare], logs[vocabulary.rare] = False, 0.0
+    fields = "doc_id long, trains boolean, n_tokens long, heavy long, heavy_base double, heavy_log double, share_log double, codes binary, others array<binary>, times array<int>"
+    end, shares = v.end, v.log_shares
+    heavy = {w: (float(np.log10(n + 1)), float(np.log10(n))) for w, n in v.heavy.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(vocabulary.words)}
-        rare, end = vocabulary.rare, vocabulary.end
+        classes = Classes(end)
         for b in in_slices(batches):
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(8)]
             for text in text_bytes(b.column(2)):
                 words = words_of(text)
-                codes = np.array([place.get(w, rare) for w in words] + [end], np.int32)
-                is_rare = np.flatnonzero(codes == rare)
-                others = Counter([words[i] for i in is_rare])
-                for c, v in zip(columns, (len(codes), len(is_rare), int(known[codes].sum()), float(logs[codes].sum()), codes.tobytes(), list(others), list(others.values())), strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "trains", "n_tokens", "n_rare", "top_known", "top_log", "codes", "rare", "times"])
-
-    return docs.select("doc_id", "trains", "text").mapInArrow(run, fields)
+                codes = np.fromiter((classes[w] for w in words), "<u2", len(words))
+                codes = np.append(codes, np.uint16(end))
+                known, base, log, others, times = 0, 0.0, 0.0, [], []
+                for w, n in Counter(words).items():
+                    got = heavy.get(w)
+                    if got is None:
+                        others.append(w)
+                        times.append(n)
+                    else:
+                        known += n
+                        base += n * got[0]
+                        log += n * got[1]
+                for c, value in zip(columns, (len(codes), known, base, log, float(shares[codes].sum()), codes.tobytes(), others, times), strict=True):
+                    c.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "trains", "n_tokens", "heavy", "heavy_base", "heavy_log", "share_log", "codes", "others", "times"])
+
+    return in_workers(docs.select("doc_id", "trains", "text"), run, fields)
+
+
+def sequences(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
 @dataclass(frozen=True)
 class HiddenMarkov:
-    """initial (K), moves (K x K, from row to column), emits (codes x K)."""
+    """initial (K), moves (K x K, from row to column), emits (classes and the end x K)."""
 
     initial: np.ndarray
     moves: np.ndarray
     emits: np.ndarray
 
+    def single(self) -> HiddenMarkov:
+        return HiddenMarkov(*(x.astype(np.float32) for x in (self.initial, self.moves, self.emits)))
+
 
 def lanes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(lane, first step) of each text, number of lanes and of steps: longest first, each to the emptiest lane of few."""
@@ -180,13 +232,11 @@ def laid_out(texts: list[np.ndarray], idle: int):
     return np.ascontiguousarray(codes.T), np.ascontiguousarray(starts.T), np.ascontiguousarray(used.T), lane, first
 
 
-def forward(model: HiddenMarkov, codes: np.ndarray, starts: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Scales (steps x lanes) of the forward recursion, and the scaled forward variables if asked for."""
+def forward(model: HiddenMarkov, codes: np.ndarray, starts: np.ndarray, a: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Scales (steps x lanes) of the forward recursion from ``a``, the scaled forward variables if asked for, and the last one."""
     steps, width = codes.shape
-    k = len(model.initial)
     scale = np.empty((steps, width), model.emits.dtype)
-    alphas = np.empty((steps, width, k), model.emits.dtype) if keep else None
-    a = np.tile(model.initial, (width, 1)).astype(model.emits.dtype)
+    alphas = np.empty((steps, width, len(model.initial)), model.emits.dtype) if keep else None
     some = starts.any(1)
     for t in range(steps):
         a = a @ model.moves
@@ -198,103 +248,128 @@ def forward(model: HiddenMarkov, codes: np.ndarray, starts: np.ndarray, keep: bo
         scale[t] = s
         if keep:
             alphas[t] = a
-    return scale, alphas
+    return scale, alphas, a
+
+
+def _entering(model: HiddenMarkov, width: int) -> np.ndarray:
+    return np.tile(model.initial, (width, 1))
 
 
 def log10_likelihoods(model: HiddenMarkov, texts: list[np.ndarray], idle: int) -> np.ndarray:
-    """log10 of the probability of each code sequence."""
+    """log10 of the probability of each sequence of codes."""
     out = np.zeros(len(texts))
-    for some in in_groups(texts, 2 * TOGETHER):
+    for some in in_groups(texts, TOGETHER):
         codes, starts, _, lane, first = laid_out([texts[i] for i in some], idle)
-        scale, _ = forward(model, codes, starts, keep=False)
-        logs = np.log10(scale, dtype=np.float64).T
+        logs = np.log10(forward(model, codes, starts, _entering(model, codes.shape[1]), keep=False)[0]).T
         for i, at, s in zip(some, lane, first, strict=True):
             out[i] = logs[at, s : s + len(texts[i])].sum()
     return out
 
 
 def in_groups(texts: list[np.ndarray], most: int) -> Iterator[list[int]]:
+    """Places of texts of like length, with about ``most`` tokens together; a longer text is alone."""
     n, some = 0, []
-    for i, t in enumerate(texts):
-        if some and n + len(t) > most:
+    for i in np.argsort([-len(t) for t in texts], kind="stable"):
+        if some and n + len(texts[i]) > most:
             yield some
             n, some = 0, []
-        some.append(i)
-        n += len(t)
+        some.append(int(i))
+        n += len(texts[i])
     if some:
         yield some
 
 
-def expected(model: HiddenMarkov, texts: list[np.ndarray], idle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of initial states, moves and emissions (codes x K) over ``texts``."""
+def expected(model: HiddenMarkov, texts: list[np.ndarray], idle: int, stretch: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of initial states, moves and emissions (classes x K) over whole ``texts``.
+
+    Forward variables are kept for about ``stretch`` tokens at a time.
+    """
     k = len(model.initial)
     initial, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emits), k))
     for some in in_groups(texts, TOGETHER):
         codes, starts, used, _, _ = laid_out([texts[i] for i in some], idle)
-        scale, gamma = forward(model, codes, starts, keep=True)
-        back = np.ones(gamma.shape[1:], gamma.dtype)  # of the step after, times its emission over its scale
-        for t in range(len(codes) - 1, -1, -1):
-            if t + 1 < len(codes):
-                weighed = back * model.emits[codes[t + 1]] / scale[t + 1][:, None]
-                weighed[starts[t + 1]] = 0
+        width = codes.shape[1]
+        step = max(1, stretch // width)
+        cuts = list(range(0, len(codes), step))
+        entering = [_entering(model, width)]
+        for c in cuts[:-1]:
+            entering.append(forward(model, codes[c : c + step], starts[c : c + step], entering[-1], keep=False)[2])
+        weighed = np.zeros((width, k), model.emits.dtype)  # backward variable of the step after, times its emission over its scale
+        after = np.ones(width, np.bool_)  # the step after starts a text
+        for c in reversed(cuts):
+            part, begins = codes[c : c + step], starts[c : c + step]
+            scale, gamma, _ = forward(model, part, begins, entering.pop(), keep=True)
+            for t in range(len(part) - 1, -1, -1):
                 moves += gamma[t].T @ weighed
                 back = weighed @ model.moves.T
-                back[starts[t + 1]] = 1
-            gamma[t] *= back
-        gamma[~used] = 0
-        initial += gamma[starts & used].sum(0)
-        flat = codes.ravel()
-        for i in range(k):
-            emits[:, i] += np.bincount(flat, gamma[:, :, i].ravel(), len(emits))
+                back[after] = 1
+                weighed = back * model.emits[part[t]] / scale[t][:, None]
+                after = begins[t]
+                weighed[after] = 0
+                gamma[t] *= back
+            within = used[c : c + step]
+            gamma[~within] = 0
+            initial += gamma[begins & within].sum(0)
+            flat = part.ravel()
+            for i in range(k):
+                emits[:, i] += np.bincount(flat, gamma[:, :, i].ravel(), len(emits))
     return initial, moves * model.moves, emits
 
 
-def reestimated(initial: np.ndarray, moves: np.ndarray, emits: np.ndarray, base: np.ndarray, strength: float) -> HiddenMarkov:
-    """Probabilities from expected counts, each state smoothed with ``strength`` tokens of the ``base`` distribution."""
-    moves = moves + 1.0
-    emits = emits + strength * base[:, None]
-    return HiddenMarkov(((initial + 1) / (initial + 1).sum()).astype(np.float32), (moves / moves.sum(1, keepdims=True)).astype(np.float32), (emits / emits.sum(0)).astype(np.float32))
-
+def neighbours(encoded: DataFrame, classes: int) -> np.ndarray:
+    """(classes and the end x 2 KINDS): how often each class is followed and preceded by each kind of class, in all training texts."""
 
-def base_distribution(vocabulary: Vocabulary) -> np.ndarray:
-    counts = vocabulary.trained + 1.0
-    return counts / counts.sum()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((classes + 1) * 2 * KINDS, np.int64)
+        for b in batches:
+            # texts one after the other: what follows an end is not a neighbour
+            whole = np.concatenate([np.empty(0, "<u2"), *sequences(b.column(0))]).astype(np.int64)
+            a, z = whole[:-1], whole[1:]
+            inside = a != classes
+            a, z = a[inside], z[inside]
+            sums += np.bincount(a * (2 * KINDS) + z % KINDS, minlength=len(sums))
+            sums += np.bincount(z * (2 * KINDS) + KINDS + a % KINDS, minlength=len(sums))
+        rows = sums.reshape(classes + 1, 2 * KINDS)
+        place = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), *(pa.array(rows[place, i]) for i in range(2 * KINDS))], names=["class", *(f"k{i}" for i in range(2 * KINDS))])
+
+    names = [f"k{i}" for i in range(2 * KINDS)]
+    got = in_workers(encoded.where("trains").select("codes"), run, "class int, " + ", ".join(f"{n} long" for n in names)).groupBy("class").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+    out = np.zeros((classes + 1, 2 * KINDS))
+    out[got["class"]] = got[names].to_numpy(float)
+    return out
 
 
-def started(texts: list[np.ndarray], vocabulary: Vocabulary, states: int, strength: float, rounds: int = 6) -> HiddenMarkov:
-    """A model from sampled texts: states start as clusters of texts by their frequent words."""
-    base = base_distribution(vocabulary)
-    texts = [t[i : i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)]
-    counts = np.zeros((vocabulary.size, states))
-    if texts:
-        width = min(vocabulary.size, 1000)
-        x = np.array([np.bincount(np.minimum(t, width - 1), minlength=width)[:width] for t in texts], np.float32)
-        x = np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
-        centres = x[[0]]
-        while len(centres) < min(states, len(x)):  # the text farthest from all centres
-            centres = np.vstack([centres, x[(x @ centres.T).max(1).argmin()]])
-        for _ in range(8):
+def started(around: np.ndarray, v: Vocabulary, states: int, strength: float) -> HiddenMarkov:
+    """States start as clusters of classes with like neighbours, weighed by how often the classes occur."""
+    weight = around.sum(1)
+    x = np.sqrt(around / np.maximum(weight[:, None], 1))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.maximum(norm, 1e-9)
+    own = np.zeros(len(x), np.int64)
+    if weight.any():
+        centres = x[[int(weight.argmax())]]
+        while len(centres) < states:  # the class with most tokens that are far from all centres
+            far = weight * np.maximum(0, 1 - (x @ centres.T).max(1)) ** 2
+            centres = np.vstack([centres, x[int(far.argmax())]])
+        for _ in range(20):
             own = (x @ centres.T).argmax(1)
-            centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+            centres = np.array([(x[own == c] * weight[own == c, None]).sum(0) if (own == c).any() else centres[c] for c in range(states)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
-        for t, c in zip(texts, own, strict=True):
-            counts[:, c] += np.bincount(t, minlength=vocabulary.size)
-    moves = np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * 0.9
-    model = reestimated(np.ones(states), moves * 1000, counts, base, strength)
-    for _ in range(rounds if texts else 0):
-        model = reestimated(*expected(model, texts, vocabulary.end), base, strength)
-    return model
+    counts = np.full((len(x), states), 0.2 / states)
+    counts[np.arange(len(x)), own] += 0.8
+    moves = np.full((states, states), 0.2 / states) + np.eye(states) * 0.8
+    return v.reestimated(np.ones(states), moves * 1000, counts * v.trained[:, None], strength)
 
 
-def baum_welch(encoded: DataFrame, model: HiddenMarkov, vocabulary: Vocabulary, strength: float) -> HiddenMarkov:
-    """One pass over the training texts; the driver gets one row for each code and state that occurs."""
-    k = len(model.initial)
+def baum_welch(encoded: DataFrame, model: HiddenMarkov, v: Vocabulary, strength: float) -> HiddenMarkov:
+    """One pass over all training texts; the driver gets one row for each class and state that occurs."""
+    k, fast, size, end = len(model.initial), model.single(), len(v.trained), v.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        initial, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((vocabulary.size, k))
+        initial, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
         for b in batches:
-            whole = [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
-            got = expected(model, [t[i : i + WINDOW] for t in whole for i in range(0, len(t), WINDOW)], vocabulary.end)
+            got = expected(fast, sequences(b.column(0)), end)
             initial, moves, emits = initial + got[0], moves + got[1], emits + got[2]
         code = np.flatnonzero(emits.any(1))
         values = np.concatenate([initial[None], moves, emits[code]])
@@ -302,55 +377,47 @@ def baum_welch(encoded: DataFrame, model: HiddenMarkov, vocabulary: Vocabulary,
         yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), *(pa.array(values[:, i].astype(np.float32)) for i in range(k))], names=["place", *(f"s{i}" for i in range(k))])
 
     names = [f"s{i}" for i in range(k)]
-    sums = encoded.where("trains").select("codes").mapInArrow(run, "place int, " + ", ".join(f"{n} float" for n in names)).groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+    sums = in_workers(encoded.where("trains").select("codes"), run, "place int, " + ", ".join(f"{n} float" for n in names)).groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
     place, values = sums["place"].to_numpy(), sums[names].to_numpy(float)
-    initial, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((vocabulary.size, k))
+    initial, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
     initial[:] = values[place == -1].sum(0)
     inner = place <= -2
     moves[-2 - place[inner]] = values[inner]
     emits[place[place >= 0]] = values[place >= 0]
-    return reestimated(initial, moves, emits, base_distribution(vocabulary), strength)
+    return v.reestimated(initial, moves, emits, strength)
 
 
-def score_sequences(docs: DataFrame, states: int = 6, vocabulary: int = 65_536, passes: int = 2, sample: int = 1_200, strength: float = 200.0) -> DataFrame:
+def score_sequences(docs: DataFrame, states: int = 6, classes: int = CLASSES, passes: int = 3, strength: float = 200.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs(doc_id, text, trains)``.
 
-    Learns from rows with ``trains`` true. A null text is an empty one: its
-    only token is the end. Repeated rows are scored alike, and count as often
-    as they occur. Without training rows every token is unseen.
+    Learns from rows with ``trains`` true, and from nothing else. A null text
+    is an empty one: its only token is the end. Repeated rows are scored alike,
+    and count as often as they occur; other columns are ignored. Without
+    training rows every token is unseen. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("trains", F.lit(False)).alias("trains"), "text")
-    words = materialize(count_words(docs), "words")
-    top = frequent_words(words, vocabulary)
-    sums = words.agg(F.sum("trained").alias("n"), F.sum((F.col("trained") > 0).cast("long")).alias("v")).first()
-    ends = docs.where("trains").count()
-    seen, distinct = sums["n"] or 0, sums["v"] or 0
-    top_seen = sum(r["trained"] for r in top)
-    v = Vocabulary(tuple(bytes(r["word"]) for r in top), np.array([*(r["trained"] for r in top), seen - top_seen, ends], float), seen + ends, distinct + (ends > 0), distinct - sum(r["trained"] > 0 for r in top))
+    words = materialize(count_words(docs.where("trains")), "words")
+    v = learn_vocabulary(words, docs.where("trains").count(), classes)
     encoded = materialize(encode(docs, v).withColumn("row", F.monotonically_increasing_id()), "codes")
-
-    # about ``sample`` texts, by a hash of id and text: a top-k would send as many from every task
-    place = F.pmod(F.xxhash64("doc_id", "codes"), F.lit(1 << 30))
-    first = encoded.where("trains").where(place < int((1 << 30) * min(1.0, sample / max(ends, 1)))).select(place.alias("place"), F.substring("codes", 1, 4 * START_TOKENS).alias("codes")).collect()
-    some = [np.frombuffer(r["codes"], np.int32) for r in sorted(first, key=lambda r: (r["place"], bytes(r["codes"])))]
-    model = started(some, v, states, strength)
+    model = started(neighbours(encoded, classes), v, states, strength)
     for _ in range(passes):
         model = baum_welch(encoded, model, v, strength)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logs = log10_likelihoods(model, [np.frombuffer(x, np.int32) for x in b.column(6).to_pylist()], v.end)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(logs)], names=["row", "doc_id", "n_tokens", "n_rare", "top_known", "top_log", "logs"])
-
-    sequences = encoded.select("row", "doc_id", "n_tokens", "n_rare", "top_known", "top_log", "codes").mapInArrow(run, "row long, doc_id long, n_tokens long, n_rare long, top_known long, top_log double, logs double")
-    # words of the class meet their counts by a shuffle; the frequent ones, on which it would be uneven, are not among them
-    rare = encoded.where("n_rare > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    met = rare.join(words.where("trained > 0").select("word", "trained"), "word")
-    sums_ = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("trained") + 1)).alias("rare_log"), F.sum("times").alias("rare_known"))
-    joined = sequences.join(sums_, "row", "left").fillna({"rare_log": 0.0, "rare_known": 0})
-    base = F.col("top_log") + F.col("rare_log") - F.col("n_tokens") * F.lit(float(np.log10(v.tokens + v.distinct + 1.0)))
-    score = F.col("logs") + F.col("rare_log") - F.col("n_rare") * F.lit(float(np.log10(v.rare_total)))
-    return joined.select("doc_id", "n_tokens", (F.col("top_known") + F.col("rare_known")).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+            logs = log10_likelihoods(model, sequences(b.column(7)), v.end)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(7)), pa.array(logs)], names=["row", "doc_id", "n_tokens", "heavy", "heavy_base", "heavy_log", "share_log", "logs"])
+
+    scored = in_workers(encoded.select("row", "doc_id", "n_tokens", "heavy", "heavy_base", "heavy_log", "share_log", "codes"), run, "row long, doc_id long, n_tokens long, heavy long, heavy_base double, heavy_log double, share_log double, logs double")
+    # words meet their counts by a shuffle; the heavy ones, on which it would be uneven, are not among them
+    others = encoded.select("row", F.explode(F.arrays_zip("others", "times")).alias("w")).select("row", F.col("w.others").alias("word"), F.col("w.times").alias("times"))
+    light = words.where(F.col("trained") < F.lit(HEAVY * v.trained.sum()))
+    sums = others.join(light, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("trained") + 1)).alias("base"), F.sum(F.col("times") * F.log10("trained")).alias("log"), F.sum("times").alias("known"))
+    joined = scored.join(sums, "row", "left").fillna({"base": 0.0, "log": 0.0, "known": 0})
+    known, ends = F.col("heavy") + F.col("known"), float(v.trained[v.end])
+    base = F.col("heavy_base") + F.col("base") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(v.tokens + v.types + 1.0)))
+    score = F.col("logs") + F.col("heavy_log") + F.col("log") + (F.col("n_tokens") - 1 - known) * F.lit(float(np.log10(v.unseen))) - F.col("share_log")
+    return joined.select("doc_id", "n_tokens", (known + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

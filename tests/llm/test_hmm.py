@@ -52,8 +52,9 @@ def test_expected_counts_against_all_paths():
                 moves[a, b] += p / total
             for s, c in zip(path, t, strict=True):
                 emits[c, s] += p / total
-    got = hmm.expected(model, TEXTS, 4)
-    assert all(np.allclose(a, b) for a, b in zip(got, (initial, moves, emits), strict=True))
+    for stretch in (10**6, 6, 1):  # in one stretch of steps, and cut into many
+        got = hmm.expected(model, TEXTS, 4, stretch)
+        assert all(np.allclose(a, b) for a, b in zip(got, (initial, moves, emits), strict=True))
 
 
 def test_lanes_hold_every_text_once():
@@ -66,20 +67,85 @@ def test_lanes_hold_every_text_once():
         assert used.max() == 1 and used.sum() == lengths.sum()
 
 
+def plain_scores(train, ask, states, classes, passes, strength):
+    """The model in plain code, text by text: counts, start, Baum-Welch over all paths' sums, scores."""
+    counts = Counter(w for t in train for w in tokens(t)[:-1])
+    place = lambda w: hmm.class_of(w.encode(), classes)
+    code = lambda t: [place(w) for w in tokens(t)[:-1]] + [classes]
+    trained = np.zeros(classes + 1)
+    for w, n in counts.items():
+        trained[place(w)] += n
+    trained[classes] = len(train)
+    unseen = max(sum(n == 1 for n in counts.values()), 1) / classes
+    v = hmm.Vocabulary(trained, len(counts) + (len(train) > 0), unseen, {})
+    around = np.zeros((classes + 1, 2 * hmm.KINDS))
+    for t in train:
+        for a, z in itertools.pairwise(code(t)):
+            around[a, z % hmm.KINDS] += 1
+            around[z, hmm.KINDS + a % hmm.KINDS] += 1
+    model = hmm.started(around, v, states, strength)
+    for _ in range(passes):
+        initial, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((classes + 1, states))
+        for t in train:
+            c = code(t)
+            alpha, beta = np.zeros((len(c), states)), np.ones((len(c), states))
+            for i, x in enumerate(c):
+                alpha[i] = (model.initial if i == 0 else alpha[i - 1] @ model.moves) * model.emits[x]
+            for i in range(len(c) - 2, -1, -1):
+                beta[i] = model.moves @ (model.emits[c[i + 1]] * beta[i + 1])
+            p = alpha[-1].sum()
+            initial += alpha[0] * beta[0] / p
+            for i, x in enumerate(c):
+                emits[x] += alpha[i] * beta[i] / p
+                if i:
+                    moves += alpha[i - 1][:, None] * model.moves * (model.emits[x] * beta[i])[None] / p
+        model = v.reestimated(initial, moves, emits, strength)
+    out = []
+    for t in ask:
+        a, total = None, 0.0
+        for w, x in zip(tokens(t), code(t), strict=True):
+            share = 1.0 if x == classes else (counts[w] or unseen) / (trained[x] + unseen)
+            a = (model.initial if a is None else a @ model.moves) * model.emits[x] * share
+            total += math.log10(a.sum())
+            a = a / a.sum()
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("passes", [0, 2])
+def test_whole_scores_against_plain_code(spark, passes):
+    rng = np.random.default_rng(7)
+    train = [" ".join(rng.choice(list("abcdefgh") if i % 2 else list("stuvwxyz"), rng.integers(0, 12))) for i in range(30)]
+    ask = ["", "a b Q", "unseen words only", "S t u a", None]
+    rows = [(i, t, True) for i, t in enumerate(train)] + [(100 + i, t, False) for i, t in enumerate(ask)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, trains boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in hmm.score_sequences(df, states=3, classes=17, passes=passes, strength=5.0).collect()}
+    want = plain_scores(train, train + ask, 3, 17, passes, 5.0)
+    assert [got[r[0]] for r in rows] == pytest.approx(want, abs=2e-4)
+
+
+def test_texts_that_do_not_train_change_nothing(spark):
+    rng = np.random.default_rng(8)
+    train = [(i, " ".join(rng.choice(list("abcdefgh") if i % 2 else list("stuvwxyz"), 20)), True) for i in range(40)]
+    scores = []
+    for other in ("a " * 500, " ".join(f"word{i} z" for i in range(300))):
+        df = spark.createDataFrame([*train, *((100 + i, other, False) for i in range(30))], "doc_id long, text string, trains boolean")
+        scores.append({r["doc_id"]: (r["score"], r["base_score"], r["train_tokens"]) for r in hmm.score_sequences(df, states=2).collect() if r["doc_id"] < 100})
+    assert len(scores[0]) == 40 and all(scores[0][k] == pytest.approx(scores[1][k], abs=1e-6) for k in scores[0])
+
+
 def test_training_raises_the_likelihood(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice(list("abcd") if i % 2 else list("wxyz"), 30)), True) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, trains boolean")
-    score = lambda passes: sum(r["score"] for r in hmm.score_sequences(docs, states=2, passes=passes, strength=2.0).collect())
-    none, some = score(0), score(3)
-    assert some >= none - 1
-    base = sum(r["base_score"] for r in hmm.score_sequences(docs, states=2, strength=2.0).collect())
-    assert some > base + 0.2 * 80 * 30 * math.log10(2)
+    got = [hmm.score_sequences(docs, states=2, passes=n, strength=2.0).agg(F.sum("score"), F.sum("base_score")).first() for n in (0, 3)]
+    assert got[1][0] >= got[0][0] - 1
+    assert got[1][0] > got[1][1] + 0.2 * 80 * 30 * math.log10(2)
 
 
 def test_base_scores_and_counts(spark, docs, rows):
     asked = docs.withColumn("trains", ~F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False)))
-    got = hmm.score_sequences(asked, states=2, vocabulary=20, passes=1).collect()
+    got = hmm.score_sequences(asked, states=2, classes=20, passes=1).collect()
     counts = Counter()
     for r in rows:
         if r[0] is None or r[0] % 5:
@@ -92,16 +158,16 @@ def test_base_scores_and_counts(spark, docs, rows):
 
 @pytest.mark.parametrize("states", [1, 2])
 def test_probabilities_of_short_texts_add_up(spark, states):
-    """All texts of up to one word over the known words and one unseen word stay below 1 in sum, as does each step."""
+    """With one state a step doesn't depend on the one before: the end, the words and each class's unseen word are all there is."""
     train = [(i, t, True) for i, t in enumerate(["a b", "a a c", "b", "", "d"])]
-    ask = [(100 + i, t, False) for i, t in enumerate(["", "a", "b", "c", "d", "unseen"])]
-    df = spark.createDataFrame(train + ask, "doc_id long, text string, trains boolean")
-    got = {r["doc_id"]: 10 ** r["score"] for r in hmm.score_sequences(df, states=states, vocabulary=2, passes=1).collect()}
-    ends = [got[100 + i] for i in range(6)]
-    assert 0 < sum(ends) < 1
-    if states == 1:  # then a step doesn't depend on the one before, and the words and the end are all there is
-        end = ends[0]
-        assert end + sum(x / end for x in ends[1:]) == pytest.approx(1, abs=1e-4)
+    fresh = {hmm.class_of(w.encode(), 3): w for w in (f"new{i}" for i in range(50))}
+    asked = ["", "a", "b", "c", "d", *fresh.values()]
+    df = spark.createDataFrame(train + [(100 + i, t, False) for i, t in enumerate(asked)], "doc_id long, text string, trains boolean")
+    got = {r["doc_id"]: 10 ** r["score"] for r in hmm.score_sequences(df, states=states, classes=3, passes=1).collect()}
+    ends = [got[100 + i] for i in range(len(asked))]
+    assert len(fresh) == 3 and 0 < sum(ends) < 1
+    if states == 1:
+        assert ends[0] + sum(x / ends[0] for x in ends[1:]) == pytest.approx(1, abs=1e-4)
 
 
 def test_nothing_to_learn_from(spark, empty):
