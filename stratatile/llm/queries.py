@@ -11,6 +11,7 @@ from .mixing import op10_fair_queue_mix
 from .packing import op4_vector_best_fit
 from .pstable import op7_pstable_vectors
 from .simhash import op9_simhash_byte_index
+from .urlfilter import ORACLE as URL_ORACLE
 from .urlfilter import op8_url_lm_ratio
 
 QUERIES = {
@@ -49,4 +50,5 @@ reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach
 lowest AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
 counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM lowest LEFT JOIN counted ON id = a""",
+    "op8_url_lm_ratio": URL_ORACLE,
 }
