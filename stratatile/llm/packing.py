@@ -2,12 +2,15 @@
 
 A piece is a vector of what it uses: tokens, one document, and attention cost
 (its length squared). A sequence has a capacity for each. Pieces go, longest
-first, to the sequence chosen by the residual norm or the weighted dot product
-among those where every capacity holds.
+first, to a sequence among those where every capacity holds: the one whose
+residual vector would have the smallest weighted norm, or the one whose free
+capacities have the largest weighted dot product with the piece. Ties go to the
+sequence opened first; where none fits, one is opened.
 
 The vector depends on the length alone, so the packing is computed on counts
 per length (at most ``capacity`` rows, whatever the number of documents) and
-on classes of sequences with equal content. Each piece then finds its place
+on classes of sequences with equal content; the sequences have the contents
+that packing the pieces one at a time would give. Each piece then finds its place
 from its rank among the pieces of its length. Ranks come from counts per
 (length, slice), so that a length that a third of all pieces have is spread
 over the slices.
@@ -15,6 +18,7 @@ over the slices.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_slices, materialize, table, text_bytes
+from .common import in_slices, in_workers, materialize, table, text_bytes
 
 END = (1).to_bytes(4, "little")
 CACHE_WORDS = 250_000
@@ -78,14 +82,39 @@ class WordTokenizer:
         self.words[word] = got
         return got
 
+    @staticmethod
+    def reads(path: str) -> bool:
+        """Whether a tokenizer's file has the normaliser and the splitter that this class relies on."""
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        # fixed values: these are what the file has
+        normalizer = {"type": "Sequence", "normalizers": [{"type": "NFC"}, spaces, {"type": "Lowercase"}]}
+        words = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+        byte = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain = all(PLAIN.fullmatch(t["content"]) is None or not t["content"].isalpha() for t in given.get("added_tokens", []))
+        return plain and given.get("normalizer") == normalizer and given.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [words, byte]}
+
     def ids(self, text: bytes) -> bytes:
         get, words = self.words.get, text.split()
         return b"".join([x if (x := get(w)) is not None else self.word(w) for w in words])
 
 
+class WholeTokenizer:
+    """The same of any tokenizer, text by text."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+
+    def ids(self, text: bytes) -> bytes:
+        return np.array(self.full.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @cache
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str) -> WordTokenizer | WholeTokenizer:
+    return WordTokenizer(path) if WordTokenizer.reads(path) else WholeTokenizer(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -100,11 +129,11 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 4096, with_ids:
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(path)
+        own = tokenizer(path)
         for b in in_slices(batches):
             of, piece, length, crc, ids = [], [], [], [], []
             for i, text in enumerate(text_bytes(b.column(1))):
-                whole = tokenizer.ids(text) + END
+                whole = own.ids(text) + END
                 for k, at in enumerate(range(0, len(whole), step)):
                     part = whole[at : at + step]
                     of.append(i)
@@ -120,39 +149,56 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 4096, with_ids:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, fields)
+    return in_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, fields)
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a sequence; weights of tokens, documents and attention cost; how a sequence is chosen."""
+    """Capacities of a sequence; weights of tokens, documents and attention cost; how a sequence is chosen.
+
+    A sequence full of texts of under four tokens reaches the number of
+    documents first; a whole piece takes all tokens and all attention.
+    """
 
     tokens: int = 4096
-    documents: int = 4096
+    documents: int = 1024
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     choose: str = "residual"
 
+    @property
+    def caps(self) -> np.ndarray:
+        return np.array([self.tokens, self.documents, self.attention], float)
+
+    def after(self, left: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """What a sequence with ``left`` capacities scores for a piece; the least is chosen."""
+        if self.choose == "residual":
+            return (np.array(self.weights) * ((left - need) / self.caps) ** 2).sum(-1)
+        return -(np.array(self.weights) * (left / self.caps) * (need / self.caps)).sum(-1)
+
+
+def need_of(length: int) -> np.ndarray:
+    """Vector of a piece."""
+    return np.array([length, 1.0, float(length) ** 2])
+
 
 def plan_bins(counts: dict[int, int], limits: Limits) -> tuple[dict[int, list[tuple[int, int, int, int, int]]], int]:
     """Runs by length, and the number of sequences.
 
     A run (rank, first, sequences, each, offset): from that rank on, pieces go
     ``each`` to a sequence, to so many sequences from ``first`` on, put from
-    ``offset``. The result equals packing the pieces one at a time, longest
-    first, because after a piece is put its sequence fits the next equal one best.
+    ``offset``. By residual norm a sequence that got a piece is still the best
+    for the next equal one; by dot product it is not, so there the pieces of a
+    length go to the best (sequence, number of pieces before) in one sort.
     """
-    caps = np.array([limits.tokens, limits.documents, limits.attention], float)
-    weights = np.array(limits.weights, float)
+    caps, runs, total = limits.caps, defaultdict(list), 0
     smallest = min(counts, default=0)
     left = np.zeros((64, 3))
     first, size, used = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
-    runs: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
-    total = 0
 
     def keep(room: np.ndarray, start: int, n: int) -> None:
         nonlocal left, first, size, used
-        if not n or room[0] < smallest or room[1] < 1 or room[2] < smallest**2:
+        if not n or (room < need_of(smallest)).any():
             return
         if used == len(left):
             alive = np.flatnonzero(size[:used] > 0)
@@ -162,40 +208,66 @@ def plan_bins(counts: dict[int, int], limits: Limits) -> tuple[dict[int, list[tu
         left[used], first[used], size[used] = room, start, n
         used += 1
 
+    def put(length: int, rank: int, room: np.ndarray, start: int, n: int, each: int) -> int:
+        """``each`` pieces into each of n sequences from ``start`` on; the next rank."""
+        runs[length].append((rank, start, n, each, int(caps[0] - room[0])))
+        keep(room - each * need_of(length), start, n)
+        return rank + n * each
+
     for length in sorted(counts, reverse=True):
-        need, todo, rank = np.array([length, 1.0, float(length) ** 2]), counts[length], 0
+        need, todo, rank = need_of(length), counts[length], 0
         if (need > caps).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
-        while todo:
-            fits = (size[:used] > 0) & (left[:used] >= need).all(1)
-            if fits.any():
-                rest = (left[:used] - need) / caps
-                score = (weights * rest**2).sum(1) if limits.choose == "residual" else -(weights * (left[:used] / caps) * (need / caps)).sum(1)
-                i = int(np.where(fits, score, np.inf).argmin())
-                room, start, n = left[i].copy(), int(first[i]), int(size[i])
-                size[i] = 0
-            else:
-                room, start, n = caps.copy(), total, -1
-            each = int((room // need).min())
-            whole = todo // each if n < 0 else min(n, todo // each)
-            more = 0 if n == whole else min(todo - whole * each, each)
-            offset = int(caps[0] - room[0])
-            if whole:
-                runs[length].append((rank, start, whole, each, offset))
-                keep(room - each * need, start, whole)
-            if more:
-                runs[length].append((rank + whole * each, start + whole, 1, more, offset))
-                keep(room - more * need, start + whole, 1)
-            touched = whole + (more > 0)
-            if n < 0:
-                total += touched
+        while rank < todo:
+            fitting = np.flatnonzero((size[:used] > 0) & (left[:used] >= need).all(1))
+            if not len(fitting):  # new sequences, each filled before the next is opened
+                each = int((caps // need).min())
+                whole, more = divmod(todo - rank, each)
+                for n, k in ((whole, each), (int(more > 0), more)):
+                    if n:
+                        rank = put(length, rank, caps.copy(), total, n, k)
+                        total += n
+                break
+            if limits.choose == "residual":
+                score = limits.after(left[fitting], need)
+                best = fitting[score == score.min()]
+                shares = [(int(best[first[best].argmin()]), None)]
             else:
-                keep(room, start + touched, n - touched)
-            rank += whole * each + more
-            todo -= whole * each + more
+                shares = dot_shares(limits, left[fitting], first[fitting], size[fitting], need, todo - rank)
+                shares = [(int(fitting[i]), some) for i, some in shares]
+            taken = [(left[i].copy(), int(first[i]), int(size[i]), some) for i, some in shares]
+            size[[i for i, _ in shares]] = 0
+            for room, start, n, some in taken:
+                if some is None:
+                    each = int((room // need).min())
+                    whole, more = divmod(min(todo - rank, n * each), each)
+                    some = [(whole, each), (int(more > 0), more)]
+                for m, k in some:
+                    if m:
+                        rank = put(length, rank, room, start, m, k)
+                        start, n = start + m, n - m
+                keep(room, start, n)
     return runs, total
 
 
+def dot_shares(limits: Limits, left: np.ndarray, first: np.ndarray, size: np.ndarray, need: np.ndarray, todo: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For classes of sequences that a piece fits: how many sequences of each, in order, get how many of ``todo`` equal pieces."""
+    most = (left // need).min(1).astype(np.int64)
+    which = np.repeat(np.arange(len(left)), most)
+    before = np.arange(len(which)) - np.repeat(np.cumsum(most) - most, most)
+    score = limits.after(left[which] - before[:, None] * need, need)
+    order = np.lexsort((before, first[which], score))
+    upto = np.cumsum(size[which[order]])
+    full = order[: int(np.searchsorted(upto, todo, side="right"))]  # every sequence of the class gets this piece
+    got = np.bincount(which[full], minlength=len(left))
+    rest = todo - int(size[which[full]].sum())
+    shares = {int(i): [(int(size[i]), int(got[i]))] for i in np.flatnonzero(got)}
+    if rest and len(full) < len(order):  # the first sequences of the next class get one more
+        i = int(which[order[len(full)]])
+        shares[i] = [(rest, int(got[i]) + 1)] + ([(int(size[i]) - rest, int(got[i]))] if got[i] else [])
+    return list(shares.items())
+
+
 def pack_pieces(pieces: DataFrame, limits: Limits) -> DataFrame:
     """Adds sequence_id and offset to written ``pieces`` with a length column."""
     slices = max(64, pieces.count() // SLICE_PIECES)
@@ -222,7 +294,7 @@ def pack_pieces(pieces: DataFrame, limits: Limits) -> DataFrame:
                 offset[at] = begin[k] + q % each[k] * n
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[f.name for f in schema])
 
-    return ranked.mapInArrow(run, schema)
+    return in_workers(ranked, run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits | None = None, with_ids: bool = False) -> DataFrame:
