@@ -1,20 +1,23 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
 A text's terms are its distinct lower-cased words. The lexicon keeps terms
-whose inverse document frequency lies in a chosen band. It is cut into
-``subsets`` randomised subsets; in each, a text's distinct lexicon terms are
-sorted and hashed. The likeness of two fingerprints is the share of subsets
-that agree, of those that either text has terms in.
-
-A text with many terms would have many in every subset, and any edit would
-change all hashes. So subsets are thinned: at level k a subset keeps one in
-2**k of its terms, the same ones for all texts, and a text uses the level that
-leaves about ``terms`` of its words, and the next one. Fingerprints whose
-levels differ by one are compared at the level that they share.
+whose inverse document frequency lies in a chosen band. SUBSETS randomised
+subsets of the lexicon, which overlap, keep a share of one in 2 ** BITS of its
+terms each; all of a text's lexicon terms in a subset are sorted and hashed
+together. The whole lexicon is one more subset.
+
+A long text has many terms in every such subset, and any edit would change all
+hashes. So there are lexicons of many levels: that of level k keeps one term in
+2 ** k, the same ones for all texts. A text has hashes for its own level, which
+keeps about ``terms`` of its words, and for all higher ones as far as it has
+terms there. Two texts are compared on all levels that both have, from the
+higher of their own levels up: their likeness is the share of subsets with equal
+hashes, of those that either has terms in. Any two texts share levels, whatever
+their sizes.
 
 Everything is DataFrame functions. Document frequencies are sums over 64-bit
-hashes of terms, made per task before they are shuffled; only the thinned
-terms of a text go on to meet the lexicon. Terms above the band are few (their
+hashes of terms, made per task before they are shuffled; only the terms of a
+text's own level go on to meet the lexicon. Terms above the band are few (their
 number is at most the mean number of terms of a text over the upper limit of
 the frequency), and they are dropped before anything is shuffled by term.
 """
@@ -29,8 +32,13 @@ from pyspark.sql.window import Window
 
 from .common import SPACE, ascii_lower, materialize, table
 
-#: Levels of a fingerprint: the text's own and the next.
-LEVELS = 2
+#: Bits of a second hash of a term that say whether a subset keeps it, and subsets: all such groups of 64 bits.
+BITS = 4
+SUBSETS = 64 // BITS
+#: Subsets with the whole lexicon, and bits of a hash that a fingerprint keeps for each.
+ALL, KEPT = SUBSETS + 1, 24
+#: Bytes of text in a task, about.
+TASK_BYTES = 32 << 20
 
 
 def term_hashes(text: Column) -> Column:
@@ -45,10 +53,30 @@ def level_of(count: Column, terms: int) -> Column:
 
 
 def thinned(hashes: Column, level: Column) -> Column:
-    """Terms that level keeps."""
+    """Terms that the lexicon of a level can have: those that end in so many zero bits."""
     return F.filter(hashes, lambda h: h.bitwiseAND(F.pow(F.lit(2), level).cast("long") - 1) == 0)
 
 
+def signatures(kept: Column, level: Column) -> Column:
+    """Array of longs, one for each level and subset that has terms of ``kept``: level, subset and KEPT bits of the hash.
+
+    The whole lexicon, number SUBSETS, has one of ``level`` alone, so that every text with terms has a mark. ``kept`` are sorted hashes of terms, all of the lexicon of ``level``.
+    """
+    known = F.transform(kept, lambda h: F.struct(h.alias("h"), F.xxhash64(h, F.lit(1)).alias("g"), F.log2(h.bitwiseAND(-h).cast("double")).cast("int").alias("top")))
+    known = F.transform(known, lambda t: F.struct(t["h"].alias("h"), t["g"].alias("g"), F.coalesce(t["top"], F.lit(63)).alias("top")))
+
+    def mark(k: Column, s: Column, terms: Column) -> Column:
+        return (k * ALL + s).cast("long") * 2**KEPT + F.xxhash64(F.transform(terms, lambda t: t["h"])).bitwiseAND(F.lit(2**KEPT - 1))
+
+    def of_subset(s: Column) -> Column:
+        members = F.filter(known, lambda t: F.call_function("shiftrightunsigned", t["g"], s * BITS).bitwiseAND(F.lit(2**BITS - 1)) == 0)
+        # as long as there are terms: no level above the top one has any
+        return F.transform(F.array(members), lambda m: F.when(F.size(m) > 0, F.transform(F.sequence(level, F.array_max(F.transform(m, lambda t: t["top"]))), lambda k: mark(k, s, F.filter(m, lambda t: t["top"] >= k)))).otherwise(F.array().cast("array<long>")))[0]
+
+    whole = F.when(F.size(kept) > 0, F.array(mark(level, F.lit(SUBSETS), known))).otherwise(F.array().cast("array<long>"))
+    return F.concat(whole, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), of_subset)))
+
+
 def with_next(docs: DataFrame, rows: int) -> DataFrame:
     """doc_id, text, ``next``, bucket, place of ``docs(doc_id, text)``, a table of so many ``rows``.
 
@@ -58,8 +86,8 @@ def with_next(docs: DataFrame, rows: int) -> DataFrame:
     where it only serves as the next text. So the texts are shuffled once, and
     every range has a row. ``place`` counts from 1 in its bucket.
     """
-    n = min(max(64, rows // 5_000), 10_000)
-    spread = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(100 * n)).alias("cuts"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    n = max(64, math.isqrt(2 * rows))
+    spread = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(100 * n)).alias("cuts"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     low, nulls = spread["low"], spread["nulls"]
     cuts = sorted({c for c in spread["cuts"] or () if c != low} | ({low} if nulls and low is not None else set()))
     bucket = bucket_of(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), cuts)
@@ -68,6 +96,7 @@ def with_next(docs: DataFrame, rows: int) -> DataFrame:
     place = lambda b, kind: F.struct(b.cast("int").alias("bucket"), F.lit(kind).alias("serves"))
     targets = F.filter(F.array(place(bucket, 0), place(F.when(at_cut, bucket - 1), 1), place(F.when(is_first, F.lit(len(cuts))), 2)), lambda t: t["bucket"].isNotNull())
     dealt = docs.withColumn("t", F.explode(targets)).select("doc_id", "text", "t.bucket", "t.serves")
+    dealt = dealt.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, spread["bytes"] // TASK_BYTES), "bucket")  # as many tasks as the texts need, not a set number
     order = Window.partitionBy("bucket").orderBy("serves", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.withColumn("next", F.lead("text").over(order)).withColumn("place", F.row_number().over(order)).where("serves = 0").drop("serves")
 
@@ -90,14 +119,15 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def imatch(docs: DataFrame, subsets: int = 32, terms: int = 32, rarest: int = 2, commonest: float = 0.05) -> DataFrame:
+def imatch(docs: DataFrame, terms: int = 40, rarest: int = 2, commonest: float = 0.05) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The band: terms in at least ``rarest`` texts and at most the share
-    ``commonest`` of all. A text without a thinned term in the band uses all
-    its thinned terms; a text without words has the empty fingerprint, which
-    is like itself (1) and unlike any other (0). Null texts count as empty.
-    Ties of doc_id go by text, null ids come first; other columns are ignored.
+    ``commonest`` of all. A text none of whose terms of its own level is in the
+    band uses all of them; a text without words has the empty fingerprint,
+    which is like itself (1) and unlike any other (0). Null texts count as
+    empty. Ties of doc_id go by text, null ids come first; repeated rows follow
+    each other; other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.count()
@@ -112,10 +142,10 @@ def imatch(docs: DataFrame, subsets: int = 32, terms: int = 32, rarest: int = 2,
     counts = materialize(counts, "imatch-frequencies")
     top = max(rarest, commonest * total)
     common = F.broadcast(counts.where(F.col("df") > F.lit(top)).select("term", F.lit(True).alias("common")))
-    lexicon = counts.where(F.col("df") <= F.lit(top)).select("term", F.lit(True).alias("within"))
+    lexicon = counts.where(F.col("df") <= F.lit(top)).select("term")
 
-    sides = read.select("row", F.explode(F.array_union("own", "made")).alias("term"), "own_level", "made_level")
-    lookup = sides.select("row", "term").join(common, "term", "left").where("common is null").select("row", "term")
+    sides = read.select("row", F.explode(F.array_union("own", "made")).alias("term"))
+    lookup = sides.join(common, "term", "left").where("common is null").select("row", "term")
     within = lookup.join(lexicon, "term").groupBy("row").agg(F.collect_list("term").alias("banded"))
     joined = read.join(within, "row", "left").withColumn("banded", F.coalesce("banded", F.array().cast("array<long>")))
 
@@ -123,22 +153,16 @@ def imatch(docs: DataFrame, subsets: int = 32, terms: int = 32, rarest: int = 2,
         kept = F.array_sort(F.array_intersect(side, "banded"))
         return F.when(F.size(kept) > 0, kept).otherwise(F.array_sort(F.col(side)))
 
-    def signatures(kept: Column, level: Column) -> Column:
-        """LEVELS x subsets hashes as hex; a dot where a subset has no term."""
-        deeper = lambda k: F.filter(kept, lambda h: h.bitwiseAND(F.pow(F.lit(2), level + k).cast("long") - 1) == 0)
-        one = lambda some, s: F.filter(some, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(subsets - 1)) == s)
-        cut = lambda some: F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda s: one(some, s))
-        parts = [cut(deeper(k)) for k in range(LEVELS)]
-        parts = [F.transform(p, lambda some: F.when(F.size(some) > 0, F.substring(F.lower(F.hex(F.xxhash64(some))), -6, 6)).otherwise(F.lit("."))) for p in parts]
-        return F.concat_ws(":", level.cast("string"), *[F.array_join(p, ",") for p in parts])
+    kept = joined.select("doc_id", "n_chars", "edited_sha256", "bucket", "place", "own_level", "made_level", banded("own").alias("own"), banded("made").alias("made"))
+    prints = kept.select("doc_id", "n_chars", "edited_sha256", "bucket", "place", F.struct(F.col("own_level").alias("level"), signatures(F.col("own"), F.col("own_level")).alias("marks")).alias("own"), F.struct(F.col("made_level").alias("level"), signatures(F.col("made"), F.col("made_level")).alias("marks")).alias("made"))
+    after = next_print(materialize(prints, "imatch-prints"))
+    return after.select("doc_id", "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("made")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("made")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
-    def name(kept: str, level: str, otherwise: str) -> Column:
-        return F.when(F.size(kept) > 0, signatures(F.col(kept), F.col(level))).otherwise(F.lit(otherwise))
 
-    named = joined.withColumn("kept", banded("own")).withColumn("kept_made", banded("made")).select("doc_id", "n_chars", "edited_sha256", "bucket", "place", name("kept", "own_level", "0").alias("fingerprint"), name("kept_made", "made_level", "0").alias("edited_fingerprint"))
-    named = materialize(named, "imatch-prints")
-    after = next_print(named)
-    return after.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+def printed(fingerprint: Column) -> Column:
+    """Level and marks as text; 0 for a text without words."""
+    marks = F.array_join(F.transform(fingerprint["marks"], lambda m: F.lower(F.hex(m))), ",")
+    return F.when(F.size(fingerprint["marks"]) == 0, F.lit("0")).otherwise(F.concat_ws(":", fingerprint["level"].cast("string"), marks))
 
 
 def next_print(named: DataFrame) -> DataFrame:
@@ -149,19 +173,16 @@ def next_print(named: DataFrame) -> DataFrame:
     twice = F.when(F.col("place") == 1, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("serves")), F.struct(before.alias("b"), F.lit(1).alias("serves")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("serves"))))
     dealt = named.select(row.alias("r"), F.explode(twice).alias("t")).select("r.*", "t.b", "t.serves")
     order = Window.partitionBy("b").orderBy("serves", "place")
-    return dealt.withColumn("next", F.lead("fingerprint").over(order)).where("serves = 0")
+    return dealt.withColumn("next", F.lead("own").over(order)).where("serves = 0")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of subsets on which two fingerprints agree, of those that either has terms in; 0 to 1."""
-    level = lambda x: F.element_at(F.split(x, ":"), 1).cast("int")
-    at = F.greatest(level(a), level(b))
-    part = lambda x: F.split(F.get(F.split(x, ":"), at - level(x) + 1), ",")
-    used = F.zip_with(part(a), part(b), lambda p, q: F.when((p == ".") & (q == "."), F.lit(None)).otherwise((p == q).cast("double")))
-    used = F.filter(used, lambda v: v.isNotNull())
-    value = F.aggregate(used, F.lit(0.0), lambda s, v: s + v) / F.size(used)
-    far = F.abs(level(a) - level(b)) >= LEVELS
-    return F.when(a == b, F.lit(1.0)).when(far | (a == "0") | (b == "0"), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
+    """Share of subsets with equal hashes, of those that either has terms in, on the levels that both have; 0 to 1."""
+    lowest = F.greatest(a["level"], b["level"]).cast("long") * (ALL * 2**KEPT)
+    both = lambda x: F.filter(x["marks"], lambda m: m >= lowest)
+    places = lambda x: F.transform(both(x), lambda m: F.shiftright(m, KEPT))
+    equal, either = F.size(F.array_intersect(both(a), both(b))), F.size(F.array_union(places(a), places(b)))
+    return F.when((F.size(a["marks"]) == 0) & (F.size(b["marks"]) == 0), F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(equal / either)
 
 
 def op3_imatch_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,11 @@
 import hashlib
+import random
+import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from stratatile.llm import imatch
@@ -43,8 +48,6 @@ def test_ranges_by_two_short_searches(spark, n):
 
 
 def test_near_copies_are_nearer_than_others(spark):
-    import random
-
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(20_000)}"
     texts = [" ".join(word() for _ in range(n)) for n in (40, 80, 200, 500, 1500) for _ in range(30)]
@@ -55,11 +58,79 @@ def test_near_copies_are_nearer_than_others(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in got) > 0.95 * len(got)
 
 
-def test_likeness(spark):
-    pairs = [("0:a,b,.:c,.,.", "0:a,x,.:c,.,.", 0.5), ("1:a,b:c,d", "0:q,q:a,b", 1.0), ("2:a,b:c,d", "0:a,b:c,d", 0.0), ("0", "0", 1.0), ("0", "0:a:b", 0.0), ("0:.:.", "0:.:.", 1.0)]
-    df = spark.createDataFrame(pairs, "a string, b string, want double")
-    for r in df.select("want", imatch.likeness(F.col("a"), F.col("b")).alias("got"), imatch.likeness(F.col("b"), F.col("a")).alias("back")).collect():
-        assert r["got"] == r["back"] == r["want"]
+def xx(kind, *values):
+    """Spark's xxhash64 of longs (q) or ints (i) one after the other, as a signed number."""
+    seed = 42
+    for k, v in zip(kind, values, strict=True):
+        seed = xxhash.xxh64_intdigest(struct.pack("<" + k, v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def hashes(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    found = {xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", lowered)}
+    return {h - (1 << 64) if h >> 63 else h for h in found}
+
+
+def plain_print(text, df, low, high, terms=40):
+    """(level, marks) of a text in plain code."""
+    own, level = hashes(text), 0
+    while len(own) / terms >= 2 ** (level + 1):
+        level += 1
+    zeros = lambda h: (h & -h).bit_length() - 1 if h else 63
+    own = sorted(h for h in own if zeros(h) >= level)
+    own = [h for h in own if low <= df[h] <= high] or own
+    marks = {(level, imatch.SUBSETS, xx("q" * len(own), *own) % 2**imatch.KEPT)} if own else set()
+    for s in range(imatch.SUBSETS):
+        members = [h for h in own if (xx("qi", h, 1) % 2**64 >> s * imatch.BITS) % 2**imatch.BITS == 0]
+        for k in range(level, 1 + max(map(zeros, members), default=-1)):
+            some = [h for h in members if zeros(h) >= k]
+            marks.add((k, s, xx("q" * len(some), *some) % 2**imatch.KEPT))
+    return level, marks
+
+
+def plain_likeness(a, b):
+    if not a[1] and not b[1]:
+        return 1.0
+    x, y = ({m for m in p[1] if m[0] >= max(a[0], b[0])} for p in (a, b))
+    either = {m[:2] for m in x | y}
+    return len(x & y) / len(either) if either else 0.0
+
+
+def test_fingerprints_and_likeness_against_plain_code(spark, docs, rows):
+    texts = [r[1] or "" for r in rows]
+    df = Counter(h for t in texts for h in hashes(t))
+    high = max(2, 0.05 * len(texts))
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(imatch.imatch(docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]))
+    want = []
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        n = len(text) // 4
+        changed = text[: len(text) - n] + after[:n]
+        own, made, following = (plain_print(t, df, 2, high) for t in (text, changed, after))
+        want.append((i is not None, i or 0, len(text), hashlib.sha256(changed.encode()).hexdigest(), own, made, plain_likeness(own, made), plain_likeness(own, following)))
+    want.sort(key=lambda w: w[:4])
+
+    def read(shown):
+        level, _, marks = shown.partition(":")
+        cut = lambda v: (v >> imatch.KEPT) // imatch.ALL, lambda v: (v >> imatch.KEPT) % imatch.ALL, lambda v: v % 2**imatch.KEPT
+        return int(level), {tuple(c(int(m, 16)) for c in cut) for m in marks.split(",") if m}
+
+    assert len(got) == len(want)
+    for r, w in zip(got, want, strict=True):
+        assert (r["n_chars"], r["edited_sha256"]) == w[2:4]
+        assert read(r["fingerprint"])[1] == w[4][1] and read(r["edited_fingerprint"])[1] == w[5][1]
+        assert r["near_edited"] == pytest.approx(w[6]) and r["near_next"] == pytest.approx(w[7])
+
+
+def test_contained_texts_are_alike_whatever_their_sizes(spark):
+    rng = random.Random(9)
+    for small, large in ((63, 129), (60, 250), (200, 900)):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(large)]
+        texts = [" ".join(words[:small]), " ".join(words)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = imatch.imatch(df, rarest=1, commonest=1.0).where("doc_id = 0").first()
+        assert 0 < got["near_next"] < 0.8, (small, large)
 
 
 def test_a_text_of_common_words_keeps_a_print(spark):
