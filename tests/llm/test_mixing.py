@@ -1,17 +1,100 @@
+import random
 import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 
 from stratatile.llm import mixing
 
 
-def test_targets():
-    got = mixing.source_targets([("b", 100), (None, 100), ("a", 1000), ("ä", 10)])
-    assert [x[0] for x in got] == ["a", "b", "ä", None] and [x[2] for x in got] == [3, 1, 2, 3]
-    targets = {x[0]: x[3] for x in got}
-    assert targets["ä"] == 20 and targets[None] == 200 and sum(targets.values()) == pytest.approx(1815)
-    assert all(t <= 2 * n + 1e-9 for _, n, _, t in got)
-    assert mixing.source_targets([]) == [] and mixing.source_targets([("a", 0)])[0][3] == 0
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, passes=2):
+    """(source, size, target), what a source can't take shared again until none is above."""
+    ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = [weights[i % len(weights)] for i in range(len(ordered))]
+    target, left, free = [0.0] * len(ordered), share * sum(n for _, n in ordered), set(range(len(ordered)))
+    while free:
+        total = sum(weight[i] for i in free)
+        full = {i for i in free if left * weight[i] / total > passes * ordered[i][1]}
+        for i in full or free:
+            target[i] = passes * ordered[i][1] if full else left * weight[i] / total
+        if not full:
+            break
+        left, free = left - sum(target[i] for i in full), free - full
+    return {s: (n, t) for (s, n), t in zip(ordered, target, strict=True)}
+
+
+@pytest.mark.parametrize("ranges", [2, 100_000])
+def test_targets(spark, monkeypatch, ranges):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", ranges)
+    rng = random.Random(3)
+    cases = [[("b", 100), (None, 100), ("a", 1000), ("ä", 10)], [("a", 0)], [("a", 0), ("b", 5)], [(f"s{i}\U0001d4b3"[: rng.randint(1, 4)] + str(i), rng.choice([0, 1, 7, 100, 10**6])) for i in range(30)]]
+    for some in cases:
+        df = spark.createDataFrame([(s, n, 1) for s, n in some], "source string, n long, rows long")
+        got = {r["source"]: (r["n"], r["target"]) for r in mixing.source_targets(df).collect()}
+        want = plain_targets(some)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, n long, rows long")).count() == 0
+
+
+def signed_hash(doc_id, size, text, seed=17):
+    """Spark's xxhash64 of (doc_id, size, xxhash64(text), seed); a null leaves the hash as it is."""
+    mark = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    h = 42
+    for kind, v in (("q", doc_id), ("q", size), ("Q", mark), ("i", seed)):
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<" + kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_mix(rows, share=1.5, passes=2):
+    """taken of each row by one queue: shuffled sources, virtual finish times, sorted and cut at the budget."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    by = {}
+    for i, (_, _, s) in enumerate(rows):
+        by.setdefault(s, []).append(i)
+    targets = plain_targets([(s, sum(size[i] for i in some)) for s, some in by.items()])
+    slices = max(64, max(map(len, by.values())) // mixing.SLICE_ROWS)
+    queue = []
+    for rank, s in enumerate(sorted(by, key=lambda s: (s is None, s or ""))):
+        n, target = targets[s]
+        u = {i: signed_hash(rows[i][0], size[i], rows[i][1]) for i in by[s]}
+        upto = 0
+        for i in sorted(by[s], key=lambda i: ((u[i] >> 20) % slices, u[i])):
+            upto += size[i]
+            if size[i] and target:
+                queue += [((k * n + upto) / target, rank, i) for k in range(passes)]
+    taken, left = [0] * len(rows), share * sum(size)
+    for _, _, i in sorted(queue):
+        if size[i] > left:
+            taken[i] += size[i] if left > size[i] / 2 else 0
+            break
+        taken[i] += size[i]
+        left -= size[i]
+    return taken
+
+
+def test_taken_against_one_sorted_queue(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 9 == 0 else i // 2, None if i % 17 == 0 else " ".join(f"w{i}" for _ in range(rng.randint(0, 30))), rng.choice(["a", "b", "b", "b", "é", None])) for i in range(400)]
+    want = plain_mix(rows)
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        got = mixing.fair_queue(df).collect()
+        size = lambda t: len((t or "").split())
+        assert sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in got) == sorted((r[0] or -1, size(r[1]), t) for r, t in zip(rows, want, strict=True))
+
+
+def test_null_ids_reach_their_targets(spark):
+    rng = random.Random(6)
+    rows = [(None, " ".join(f"w{i}" for _ in range(rng.randint(1, 30))), "ab"[i % 2]) for i in range(200)]
+    want = Counter()
+    for (_, t, s), k in zip(rows, plain_mix(rows), strict=True):
+        want[s, t] += k // len(t.split())
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n) for n in (1, 5)):
+        got = Counter((r["source"], r["text"]) for r in mixing.mix(df).collect())
+        assert got == +want
 
 
 def test_every_row_once_and_sums_near_targets(spark, docs, rows):
