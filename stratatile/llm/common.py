@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,34 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix, the smallest index that it reaches."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:
+        near = np.minimum(root, np.where(linked, root[None, :], n).min(1, initial=n))
+        near = near[near]
+        if (near == root).all():
+            return root
+        root = near
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 2_000) -> DataFrame:
+    """``left`` joined to ``right(key, n, ...)``, which has one row for each key of left and how often left has it.
+
+    Keys that more than one in ``share`` of left's ``rows`` have are fewer than
+    ``share``: they meet their row by a broadcast, so none is a task of its own.
+    The others meet theirs by a shuffle.
+    """
+    often = F.col("n") * F.lit(share) > F.lit(rows)
+    value = F.struct(*[c for c in right.columns if c not in (key, "n")])
+    hot = right.where(often).select(F.col(key).alias("_key"), value.alias("_value"))
+    met = left.join(F.broadcast(hot), F.col(key) == F.col("_key"), "left")
+    known = met.where("_key is not null").select(*left.columns, "_value.*")
+    others = met.where("_key is null").select(*left.columns).join(right.where(~often).drop("n").hint("shuffle_merge"), key)
+    return known.unionByName(others.select(*known.columns))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges(a, b)``; component: the smallest node reachable.
 
@@ -58,7 +87,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     goes on with the edges between roots. At least half of the nodes that have
     an edge are hooked on average, whatever the shape of the graph, and one is
     always, so the rounds end by themselves; all tables shrink with the nodes.
-    Only min() aggregates meet at a node with many edges.
+    Aggregates at a node with many edges are minima, made before the shuffle;
+    the joins at it are inner ones of a large side to one row for each node,
+    which adaptive execution splits where a node has very many edges.
     """
     left = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     rounds: list[DataFrame] = []
@@ -69,7 +100,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = _roots(materialize(near.select("node", F.least("first", place("node"))["n"].alias("up")), "hooks"))
         rounds.append(up)
         ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
-        left = materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        done_with, left = left, materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(done_with)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     done = rounds.pop()
@@ -85,6 +117,9 @@ def _roots(hooks: DataFrame) -> DataFrame:
     while True:
         above = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
         stepped = materialize(hooks.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "hooks")
+        discard(hooks)
+        settled = stepped.where("moved").limit(1).count() == 0
         hooks = stepped.select("node", "up")
-        if stepped.where("moved").limit(1).count() == 0:
+        hooks._scratch = stepped._scratch
+        if settled:
             return hooks

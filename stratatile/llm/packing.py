@@ -269,14 +269,14 @@ def dot_shares(limits: Limits, left: np.ndarray, first: np.ndarray, size: np.nda
 
 
 def pack_pieces(pieces: DataFrame, limits: Limits) -> DataFrame:
-    """Adds sequence_id and offset to written ``pieces`` with a length column."""
+    """Adds sequence_id and offset to written ``pieces(row, length, ...)``; row is a number of its own for each."""
     slices = max(64, pieces.count() // SLICE_PIECES)
-    counted = pieces.groupBy("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).alias("slice")).agg(F.count("*").alias("n"))
+    counted = pieces.groupBy("length", F.pmod(F.xxhash64("row"), F.lit(slices)).alias("slice")).agg(F.count("*").alias("n"))
     by_length = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # limits.tokens rows at most
     runs, _ = plan_bins(by_length, limits)
     before = counted.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "row"))
-    ranked = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices))).withColumn("inside", inside).join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("slice", "row", "inside", "before")
+    inside = F.row_number().over(Window.partitionBy("length", "slice").orderBy("row"))
+    ranked = pieces.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices))).withColumn("inside", inside).join(before, ["length", "slice"]).withColumn("rank", F.col("before") + F.col("inside") - 1).drop("slice", "row", "inside", "before")
     plan = {n: tuple(np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)) for n, rows in runs.items()}
     kept = [c for c in ranked.columns if c != "rank"]
     schema = ranked.select(*kept, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
@@ -306,7 +306,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits | No
     are ignored; an empty table has no pieces.
     """
     limits = limits or Limits()
-    pieces = materialize(tokenized_pieces(docs, path or tokenizer_path(), limits.tokens, with_ids), "pieces")
+    pieces = materialize(tokenized_pieces(docs, path or tokenizer_path(), limits.tokens, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack_pieces(pieces, limits)
 
 

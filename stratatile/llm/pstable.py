@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
-from .simhash import forest
+from .common import connected_components, forest, in_workers, join_hot, materialize, table
 
 
 def collision(distance: float, width: float) -> float:
@@ -102,7 +101,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
                 codes[at] = hashing.codes(np.stack([units[i] for i in at])) + d
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in units], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))], names=["node", "unit", "codes"])
 
-    coded = entries.select("node", "v").mapInArrow(hashed, "node long, unit binary, codes array<long>")
+    coded = in_workers(entries.select("node", "v"), hashed, "node long, unit binary, codes array<long>")
     coded = materialize(coded.join(entries.select("node", "label", "copies"), "node"), "vector-codes")
     posts = coded.select("node", "label", F.posexplode("codes").alias("t", "code"))
     lists = posts.groupBy("t", "code", "label").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / block)).cast("int")).drop("n")
@@ -133,13 +132,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
             whole = [np.concatenate(x or [np.empty(0, np.int64)]).astype(np.int64) for x in (nodes, links, roots)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], names=["node", "links", "root"])
 
-    found = materialize(tiles.select("t", "i", "j", "members").mapInArrow(linked, "node long, links long, root long"), "vector-links")
+    found = materialize(in_workers(tiles.select("t", "i", "j", "members"), linked, "node long, links long, root long"), "vector-links")
     groups = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = entries.select("node", "same", "copies", "first").join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = known.groupBy("component").agg(F.min("first").alias("lowest"))
-    known = materialize(known.join(lowest, "component").select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "lowest"), "vector-groups")
-    done = rows.select("vec_id", "same").join(known, "same", "left")
+    known = materialize(known.join(lowest, "component").select("same", F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "lowest"), "vector-groups")
+    alone = rows.where("same is null").select("vec_id", "same", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("lowest"))
+    done = join_hot(rows.where("same is not null").select("vec_id", "same"), known, "same", rows.count()).unionByName(alone)
     component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("lowest"))
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

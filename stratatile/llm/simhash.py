@@ -10,6 +10,11 @@ AG(3, 2): any three positions lie in a plane, and its complement is a plane of
 shared bytes). Within a list the shared bytes of each pair are tallied, pairs
 that reach 8 - max_bits are kept and verified.
 
+Near-dedup of whole texts by their five-word shingles (``drop_near_duplicates``)
+uses the same index over longer fingerprints, as a radius that reaches a
+similarity of 0.8 leaves none of SimHash's 8 bytes equal for sure; see
+``shingles``.
+
 Equal fingerprints are one entry of the index. Lists longer than ``block`` are
 cut into tiles of about that many entries, so no task holds more, and a task
 returns a spanning forest of what it found, not pairs.
@@ -26,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, in_slices, materialize, table, text_bytes, words_of
+from .common import connected_components, forest, in_slices, in_workers, join_hot, materialize, table, text_bytes, words_of
+from .shingles import drop_near_duplicates as drop_near_duplicates
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -58,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.array([simhash(t, width) for t in text_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return in_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def position_groups(max_bits: int) -> list[tuple[int, ...]]:
@@ -68,18 +74,6 @@ def position_groups(max_bits: int) -> list[tuple[int, ...]]:
     return list(combinations(range(8), 8 - max_bits))
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix, the smallest index that it reaches."""
-    n = len(linked)
-    root = np.arange(n)
-    while True:
-        near = np.minimum(root, np.where(linked, root[None, :], n).min(1, initial=n))
-        near = near[near]
-        if (near == root).all():
-            return root
-        root = near
-
-
 def links_in(fps: np.ndarray, max_bits: int) -> np.ndarray:
     """Boolean matrix: pairs that share at least 8 - max_bits positional bytes and differ in max_bits bits at most."""
     x = fps.view(np.uint64)
@@ -119,7 +113,7 @@ def near_edges(distinct: DataFrame, max_bits: int = 3, block: int = 512) -> Data
                 z.append(x[root[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [np.empty(0, np.int64)])), pa.array(np.concatenate(z or [np.empty(0, np.int64)]))], names=["a", "b"])
 
-    return tiles.select("fps").mapInArrow(run, "a long, b long")
+    return in_workers(tiles.select("fps"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, block: int = 512) -> DataFrame:
@@ -132,25 +126,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, block: i
     rows stay rows. Other columns are ignored.
     """
     prints = materialize(fingerprints(docs, width), "simhash")
-    named = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    named = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     groups = connected_components(near_edges(named.select("fp"), max_bits, block))
     grouped = named.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = materialize(grouped.join(lowest, "component").select("fp", "component_id"), "simhash-labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component: that with the smallest doc_id.
-
-    Of rows that repeat the kept doc_id one stays. Rows with a null doc_id
-    can't be named as kept or dropped, and stay.
-    """
-    kept = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    kept = materialize(kept, "kept")
-    # always by a shuffle: a broadcast would be chosen for small tables alone, and plans should be alike at every size
-    named = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    labels = materialize(grouped.join(lowest, "component").select("fp", "n", "component_id"), "simhash-labels")
+    return join_hot(prints, labels, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
 from itertools import combinations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from stratatile.llm import shingles
+from stratatile.llm import shingles, simhash
 
 
 def plain(text, width=5):
@@ -52,9 +55,36 @@ def test_tiles_and_turns_find_what_one_list_finds(spark):
 
 
 def test_null_and_repeated_ids(spark, docs, empty):
-    ids = [r["doc_id"] for r in shingles.drop_near_duplicates(docs).collect()]
-    named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and ids.count(None) == 2
+    kept = shingles.drop_near_duplicates(docs).collect()
+    named = [r["doc_id"] for r in kept if r["doc_id"] is not None]
+    # copies of 7 under a null id and null texts under one go; texts that share an id stay, a repeated row goes
+    assert len(named) == len(kept) and named.count(4) == 2 and named.count(3) == 1
     assert 7 in named and 105 not in named and 106 not in named and {0, 1, 2, 3, 103, 108} <= set(named)
     assert len([i for i in named if i in (100, 101, 102)]) == 1
     assert shingles.drop_near_duplicates(empty).count() == 0
+
+
+def test_unique_text_is_never_lost(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(3, "alpha"), (5, "alpha"), (5, "beta"), (7, "gamma"), (None, "delta"), (None, "delta"), (None, "gamma"), (None, "epsilon"), (7, "zeta")]
+    df = spark.createDataFrame([(i, text(k), k) for i, k in rows], "doc_id long, text string, kind string")
+    for some in (df, df.repartition(4), df.orderBy(F.desc("kind"))):
+        got = sorted((r["doc_id"] or 0, r["kind"]) for r in simhash.drop_near_duplicates(some).collect())
+        assert got == [(0, "delta"), (0, "epsilon"), (3, "alpha"), (5, "beta"), (7, "gamma"), (7, "zeta")]
+
+
+def test_bytes_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(2)
+    for shared in (0, 100, 400, 500):
+        a, b = rng.integers(0, 2**63, (2, 500), np.uint64)
+        b[:shared] = a[:shared]
+        alike = shared / (1000 - shared)
+        x, y = (np.frombuffer(shingles.fingerprint(s, 4000), np.uint8) for s in (a, b))
+        assert abs((x == y).mean() - (alike + (1 - alike) / 256)) < 0.03
+    keys = shingles.group_keys(np.array([[1, 2, 3, 4, 5, 6, 7, 8, 9, 10]], np.uint8))
+    assert keys.tolist() == [[0x0102030405, 0x10607080900 + 10]]
+
+
+def test_least_shared_bytes():
+    assert shingles.least_shared(120, 0.8, 1e-5) == 76 and shingles.least_shared(5, 1.0, 1e-5) == 5
+    assert shingles.groups_for(0.8, 0.9999) == 24

@@ -75,16 +75,6 @@ def test_edges_connect_what_links_connect(spark):
     assert want == got
 
 
-def test_stage_keeps_one_of_each_group(spark, docs, rows):
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and ids.count(None) == 2
-    assert 7 in named and 105 not in named and 106 not in named and {0, 1, 2, 3, 103, 108} <= set(named)
-    assert len([i for i in named if i in (100, 101, 102)]) == 1
-
-
 def test_empty_table_and_long_text(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0
