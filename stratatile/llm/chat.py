@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import in_slices, in_workers, table
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -52,7 +52,7 @@ class Mapping:
 
 
 def path_hash(paths: Iterable[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 SHARED = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
@@ -76,13 +76,18 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     return schema_paths(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else {at}
 
 
-def value_paths(value, at: str = "") -> set[str]:
-    """The same of a parsed JSON value."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, f"{at}[]")}
-    return {at}
+def value_paths(value) -> set[str]:
+    """The same of a parsed JSON value, however deep; an empty list or object has its own path."""
+    found, todo = set(), [(value, "")]
+    while todo:
+        x, at = todo.pop()
+        if isinstance(x, dict) and x:
+            todo += [(v, f"{at}.{k}" if at else k) for k, v in x.items()]
+        elif isinstance(x, list) and x:
+            todo += [(v, f"{at}[]") for v in x]
+        else:
+            found.add(f"{at}[]" if isinstance(x, list) else at)
+    return found
 
 
 def select_mapping(paths: Iterable[str], mappings: Sequence[Mapping] = MAPPINGS) -> Mapping | None:
@@ -135,24 +140,35 @@ def _walk(value, path: str):
     return value
 
 
+def _said(x) -> str:
+    """A field as text: null is empty, what isn't text is its JSON; half a surrogate pair is U+FFFD."""
+    text = x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def record_turns(record: str | None, mappings: Sequence[Mapping] = MAPPINGS) -> tuple[str | None, str | None, list[dict]]:
-    """(fingerprint, layout, turns) of one JSON record; bad JSON and unknown layouts have no turns."""
+    """(fingerprint, layout, turns) of one JSON record.
+
+    What is no JSON object, or nested too deep to be read, has none of the
+    three; an unknown layout has a fingerprint and no turns. An empty list of
+    messages has the layout whose list it is, and no turns, as in a typed table.
+    """
     try:
         value = json.loads(record) if record else None
-    except ValueError:
-        value = None
-    if not isinstance(value, dict):
+        if not isinstance(value, dict):
+            return None, None, []
+        paths = value_paths(value)
+        given = [m for m in mappings if not m.order]
+        m = select_mapping(paths, given) or next((m for m in given if m.messages and _walk(value, m.messages) == []), None)
+        if m is None:
+            return path_hash(paths), None, []
+        alias = dict(m.aliases)
+        if m.messages:
+            found = [(_said(_walk(x, m.role)), _said(_walk(x, m.text))) for x in _walk(value, m.messages) or []]
+        else:
+            found = [(role, _said(_walk(value, path))) for role, path in m.parts]
+    except (ValueError, RecursionError):
         return None, None, []
-    paths = value_paths(value)
-    m = select_mapping(paths, [m for m in mappings if not m.order])
-    if m is None:
-        return path_hash(paths), None, []
-    say = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
-    alias = dict(m.aliases)
-    if m.messages:
-        found = [(say(_walk(x, m.role)), say(_walk(x, m.text))) for x in _walk(value, m.messages) or []]
-    else:
-        found = [(role, say(_walk(value, path))) for role, path in m.parts]
     return path_hash(paths), m.name, [{"role": alias.get(r, r), "text": t} for r, t in found]
 
 
@@ -163,50 +179,62 @@ def canonical_records(df: DataFrame, key: str, record: str, mappings: Sequence[M
     arrow = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             got = [record_turns(x, mappings) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string()), pa.array([x[2] for x in got], arrow)], names=[f.name for f in schema])
 
-    return kept.mapInArrow(run, schema)
+    return in_workers(kept, run, schema)
 
 
 # --- the template -----------------------------------------------------------
 # <s>[ROLE]role[/ROLE]text</s> for each turn. In roles and texts a backslash
-# becomes two, and one is put after the first character of whatever begins like
-# a control string, so that no control string occurs inside; dropping the
-# backslash before any character reads it back.
-CONTROL = r"([<\[])(/?(?:s|SYS|INST|ROLE)[>\]]|<SYS|\|)"
+# becomes two, and one is put after every < and [, with which all control
+# strings begin, so that none occurs inside; dropping the backslash before any
+# character reads it back.
+OPENING = r"([<\[])"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), CONTROL, r"$1\\$2")
+    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), OPENING, r"$1\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"(?s)\\(.?)", "$1")
 
 
 def format_turns(chats: DataFrame, learn: str = "assistant") -> DataFrame:
-    """Adds formatted (string) and mask (array of (chars, loss) runs that cover it)."""
-    escaped = F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == learn).alias("loss")))
-    df = chats.withColumn("_escaped", escaped)
-    formatted = F.array_join(F.transform("_escaped", lambda t: F.concat(F.lit("<s>[ROLE]"), t["role"], F.lit("[/ROLE]"), t["text"], F.lit("</s>"))), "")
+    """Adds formatted (string) and mask (array of (chars, loss) runs that cover it, three for each turn).
+
+    Null turns are none: an empty text and no runs. Null roles and texts inside
+    are empty. Other columns stay; a column named formatted or mask is replaced.
+    """
+    name = "_escaped"
+    while name in chats.columns:
+        name += "_"
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    escaped = F.transform(F.coalesce("turns", F.array().cast(TURNS)), lambda t: F.struct(escape(empty(t["role"])).alias("role"), escape(empty(t["text"])).alias("text"), t["role"].eqNullSafe(F.lit(learn)).alias("loss")))
+    df = chats.withColumn(name, escaped)
+    formatted = F.array_join(F.transform(name, lambda t: F.concat(F.lit("<s>[ROLE]"), t["role"], F.lit("[/ROLE]"), t["text"], F.lit("</s>"))), "")
     run = lambda n, loss: F.struct(n.cast("long").alias("chars"), loss.alias("loss"))
-    mask = F.flatten(F.transform("_escaped", lambda t: F.array(run(F.length(t["role"]) + 16, F.lit(False)), run(F.length(t["text"]), t["loss"]), run(F.lit(4), F.lit(False)))))
-    return df.withColumn("formatted", formatted).withColumn("mask", mask).drop("_escaped")
+    mask = F.flatten(F.transform(name, lambda t: F.array(run(F.length(t["role"]) + 16, F.lit(False)), run(F.length(t["text"]), t["loss"]), run(F.lit(4), F.lit(False)))))
+    return df.withColumn("formatted", formatted).withColumn("mask", mask).drop(name)
+
+
+def _parts(formatted: Column) -> Column:
+    """The formatted turns, without their ends."""
+    return F.filter(F.split(formatted, "</s>"), lambda x: x != "")
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted text."""
-    parts = F.filter(F.split(formatted, "</s>"), lambda x: x != "")
-    return F.transform(parts, lambda x: F.struct(unescape(F.regexp_extract(x, r"(?s)^<s>\[ROLE\](.*?)\[/ROLE\]", 1)).alias("role"), unescape(F.regexp_extract(x, r"(?s)^<s>\[ROLE\].*?\[/ROLE\](.*)$", 1)).alias("text")))
+    return F.transform(_parts(formatted), lambda x: F.struct(unescape(F.regexp_extract(x, r"(?s)^<s>\[ROLE\](.*?)\[/ROLE\]", 1)).alias("role"), unescape(F.regexp_extract(x, r"(?s)^<s>\[ROLE\].*?\[/ROLE\](.*)$", 1)).alias("text")))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("got"))
-    step = lambda a, m: F.struct((a["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.concat(a["got"], F.array(F.substring(formatted, a["at"].cast("int"), m["chars"].cast("int"))))).otherwise(a["got"]).alias("got"))
-    return unescape(F.array_join(F.aggregate(mask, start, step, lambda a: a["got"]), ""))
+    """All text under the mask, unescaped; each turn's three runs are counted in its own part."""
+    chars = lambda k: F.get(mask, k)["chars"].cast("int")
+    cut = lambda x, i: F.when(F.get(mask, 3 * i + 1)["loss"], F.substring(x, chars(3 * i) + 1, chars(3 * i + 1))).otherwise(F.lit(""))
+    return unescape(F.array_join(F.transform(_parts(formatted), cut), ""))
 
 
 def op1_schema_fingerprint_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import CONTROL, op1_schema_fingerprint_chat
+from .chat import OPENING, op1_schema_fingerprint_chat
 from .gam import op6_additive_quality
 from .hmm import op2_hidden_markov
 from .imatch import op3_imatch_lexicons
@@ -27,7 +27,7 @@ QUERIES = {
     "op10_fair_queue_mix": op10_fair_queue_mix,
 }
 
-_ESCAPED = "length(regexp_replace(replace({0}, '\\', '\\\\'), '" + CONTROL + "', '\\1\\\\\\2', 'g'))"
+_ESCAPED = "length(regexp_replace(replace({0}, '\\', '\\\\'), '" + OPENING + "', '\\1\\\\', 'g'))"
 
 #: SQL for the operators that it can express; the others are tested against plain code.
 ORACLE_SQL = {

@@ -25,6 +25,42 @@ def test_round_trip_of_control_strings(spark):
     assert formatted.count("</s>") == len(turns) and formatted.count("[ROLE]") == len(turns) and "[INST]" not in formatted
 
 
+def test_no_control_string_stays(spark):
+    for control in ("<<SYS>>", "<</SYS>>", "<SYS>", "<|im_start|>", "[[INST]]", "<s>", "</s>", "<<s>", "[/ROLE]"):
+        formatted, got, loss = back(spark, [("user", control), (control, control), ("assistant", control + "\\" + control)])
+        assert got == [("user", control), (control, control), ("assistant", control + "\\" + control)] and loss == got[2][1]
+        inside = formatted.replace("<s>[ROLE]", "").replace("[/ROLE]", "").replace("</s>", "")
+        assert not any(x in inside for x in ("<SYS", "<<", "</", "<|", "<s", "[I", "[/", "[["))
+
+
+def test_no_turns_and_columns_of_the_caller(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, [], 6), (3, [(None, None), ("assistant", None)], 7)], f"k long, turns {chat.TURNS}, _escaped int")
+    done = chat.format_turns(df)
+    assert done.columns == ["k", "turns", "_escaped", "formatted", "mask"]
+    got = {r["k"]: r for r in done.select("*", chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss"), chat.read_turns(F.col("formatted")).alias("back")).collect()}
+    assert [got[k]["_escaped"] for k in (1, 2, 3)] == [5, 6, 7] and all(got[k]["loss"] == "" for k in got)
+    assert got[1]["formatted"] == got[2]["formatted"] == "" and got[1]["mask"] == [] and [tuple(t) for t in got[3]["back"]] == [("", ""), ("assistant", "")]
+
+
+def test_records_that_break_parsers(spark):
+    deep = '{"prompt": "p", "response": "r", "more": ' + '{"a": ' * 900 + "1" + "}" * 901
+    deeper = '{"prompt": ' + "[" * 200_000 + "]" * 200_000 + ', "response": "r"}'
+    rows = [(1, r'{"prompt": "\ud800x", "response": "\ud83d\ude00"}'), (2, deep), (3, deeper), (4, '{"messages": []}'), (5, r'{"\udfff": 1}'), (6, '{"conversations": []}'), (7, '{"messages": {}}'), (8, "{}"), (9, '{"messages": [null, 3]}')]
+    got = {r["id"]: r for r in chat.canonical_records(spark.createDataFrame(rows, "id long, record string"), "id", "record").collect()}
+    turns = lambda k: [tuple(t) for t in got[k]["turns"]]
+    assert turns(1) == [("user", "\ufffdx"), ("assistant", "\U0001f600")]
+    assert turns(2) == [("user", "p"), ("assistant", "r")] and got[2]["layout"] == "prompt_response"
+    assert got[3]["layout"] is None and turns(3) == []
+    assert got[4]["layout"] == "messages" and got[6]["layout"] == "conversations" and turns(4) == turns(6) == []
+    assert got[5]["fingerprint"] and got[5]["layout"] is None and all(turns(k) == [] for k in (5, 7, 8, 9))
+
+
+def test_a_conversation_of_many_turns(spark):
+    turns = [("assistant" if i % 2 else "user", f"[{i}]") for i in range(20_000)]
+    formatted, got, loss = back(spark, turns)
+    assert got == turns and loss == "".join(t for r, t in turns if r == "assistant")
+
+
 def test_rows_by_turn(spark):
     rows = [(1, 2, "assistant", "b", 9), (1, 1, "user", None, 9), (1, 2, "assistant", "a", 9), (1, 2, "assistant", "a", 9), (2, None, None, "x", 9), (None, 1, "user", "y", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
