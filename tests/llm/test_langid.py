@@ -51,6 +51,72 @@ def test_em_never_lowers_the_likelihood(spark):
     assert all(b >= a - 1e-2 for a, b in zip(likes, likes[1:], strict=False))
 
 
+def plain_inference(model, text, penalty=2.0):
+    """Main language, its share in the full mixture and the size of the best set, by loops over trigrams."""
+    _, buckets = langid.trigrams([text])
+    if not len(buckets):
+        return None
+    rows, n = [model.table[b].astype(float) for b in buckets], len(buckets)
+
+    def em(columns, theta, steps):
+        for _ in range(steps):
+            new = [0.0] * len(columns)
+            for r in rows:
+                total = sum(t * r[c] for t, c in zip(theta, columns, strict=True))
+                for j, c in enumerate(columns):
+                    new[j] += theta[j] * r[c] / total
+            theta = [x / n for x in new]
+        return theta, sum(np.log(sum(t * r[c] for t, c in zip(theta, columns, strict=True))) for r in rows)
+
+    k = len(model.languages)
+    full, _ = em(range(k), [1 / k] * k, langid.STEPS)
+    order = sorted(range(k), key=lambda j: -full[j])
+    best, chosen, shares = -n * np.log(langid.BUCKETS), 0, [1.0]
+    single = sum(np.log(r[order[0]]) for r in rows)
+    if single > best:
+        best, chosen = single, 1
+    best = max(best, single)
+    for m in range(2, k + 1):
+        if full[order[m - 1]] * n < 1:
+            break
+        start = [max(full[j], 1e-3) for j in order[:m]]
+        fit, like = em(order[:m], [x / sum(start) for x in start], langid.SET_STEPS)
+        if like - penalty * (m - 1) * np.log(n + 1) <= best:
+            break
+        best, chosen, shares = like - penalty * (m - 1) * np.log(n + 1), m, fit
+    main = order[int(np.argmax(shares))]
+    return main, full[main], chosen
+
+
+def test_inference_against_plain_loops(spark):
+    model = langid.train_languages(labelled(spark))
+    texts = [mixed(s, n, seed) for seed, (s, n) in enumerate([({"aa": 1}, 30), ({"bb": 0.6, "cc": 0.4}, 60), ({"aa": 0.3, "bb": 0.3, "cc": 0.4}, 90), ({"aa": 0.95, "bb": 0.05}, 40), ({"cc": 1}, 1)])] + ["жчш щыэ", "a", "1"]
+    main, share, size = model.infer(texts, 2.0)
+    for i, t in enumerate(texts):
+        want = plain_inference(model, t)
+        assert (main[i], size[i]) == ((want[0], want[2]) if want else (-1, 0)) and (want is None or np.isclose(share[i], want[1], atol=1e-3)), t
+
+
+def test_sets_grow_with_the_languages_and_none_is_left_out(spark):
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(300) for j in range(40)]
+    own = {f"l{k:03d}": "".join(letters[40 * k : 40 * k + 8]) for k in range(300)}
+    rows = [(k, words(rng, 60, v)) for k, v in own.items()]
+    model = langid.train_languages(spark.createDataFrame(rows, "lang string, text string").repartition(2))
+    assert len(model.languages) == 300
+    text = " ".join(words(rng, 80, own[f"l{k:03d}"]) for k in (5, 80, 150, 220, 299))
+    main, share, size = model.infer([text, words(rng, 30, own["l299"])], 2.0)
+    assert size.tolist() == [5, 1] and main[1] == 299 and 0.1 < share[0] < 0.4
+
+
+def test_long_texts_are_read_in_parts():
+    text = "Añb 1 " * 500 + "ΣΑΣ"
+    want = np.unique(langid.trigrams([text])[1], return_counts=True)
+    for chars in (7, 64, 10**6):
+        got = langid.counted([text], chars)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_rows_and_stage(spark, docs, rows):
     model = langid.train_languages(langid.training_rows(docs))
     assert set(model.languages) == {"en", "xx"}
