@@ -49,14 +49,17 @@ FLUSH = 250_000
 #: Tokens that go through the recursion together.
 TOGETHER = 1_000_000
 #: A word with at least this share of the training tokens is looked up from a broadcast: there are 1 / HEAVY at most.
-HEAVY = 2e-5
+HEAVY = 2e-6
 #: Kinds of neighbours that the start tells apart.
 KINDS = 16
 
 
+_digest = xxhash.xxh64_intdigest
+
+
 def class_of(word: bytes, classes: int) -> int:
     """The same number as pmod(xxhash64(word), classes) in SQL."""
-    h = xxhash.xxh64_intdigest(word, SEED)
+    h = _digest(word, SEED)
     return (h - (1 << 64) if h >> 63 else h) % classes
 
 
@@ -70,7 +73,8 @@ class Classes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= FLUSH:
             self.clear()
-        c = self[word] = class_of(word, self.classes)
+        h = _digest(word, SEED)
+        self[word] = c = (h - (1 << 64) if h >> 63 else h) % self.classes
         return c
 
 
@@ -160,8 +164,8 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
             columns: list[list] = [[] for _ in range(8)]
             for text in text_bytes(b.column(2)):
                 words = words_of(text)
-                codes = np.fromiter((classes[w] for w in words), "<u2", len(words))
-                codes = np.append(codes, np.uint16(end))
+                codes = np.full(len(words) + 1, end, "<u2")
+                codes[:-1] = np.fromiter(map(classes.__getitem__, words), "<u2", len(words))
                 known, base, log, others, times = 0, 0.0, 0.0, [], []
                 for w, n in Counter(words).items():
                     got = heavy.get(w)
