@@ -26,7 +26,7 @@ from .common import in_slices, in_workers, table
 
 BUCKETS = 1 << 16
 #: Characters that are worked on at a time, and languages for which so many are.
-CHARS, FEW = 2_000_000, 16
+CHARS, FEW = 250_000, 16
 #: Languages of which a task holds counts at a time.
 HELD = 64
 #: EM steps of the full mixture, and of a set.

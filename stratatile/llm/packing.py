@@ -100,6 +100,11 @@ class WordTokenizer:
         return b"".join([x if (x := get(w)) is not None else self.word(w) for w in words])
 
 
+    def forget(self) -> None:
+        """Gives the caches' memory back; a worker goes on to other stages."""
+        self.words, self.parts = {}, {}
+
+
 class WholeTokenizer:
     """The same of any tokenizer, text by text."""
 
@@ -111,6 +116,9 @@ class WholeTokenizer:
     def ids(self, text: bytes) -> bytes:
         return np.array(self.full.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        pass
+
 
 @cache
 def tokenizer(path: str) -> WordTokenizer | WholeTokenizer:
@@ -148,6 +156,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 4096, with_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.forget()
 
     return in_workers(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, fields)
 
