@@ -11,7 +11,7 @@ import os
 import sys
 from collections.abc import Sequence
 
-from .plans.config import check, parse_count, parse_zoom, read_config
+from .plans.config import check, count, option, read_config, zoom
 from .plans.convert import convert
 from .plans.install import setup
 
@@ -41,10 +41,9 @@ def main(arguments: Sequence[str] | None = None) -> int:
     try:
         config = read_config(given.config)
         if given.command == "convert":
-            zooms = [parse_zoom(x, flag) if x else None for x, flag in ((given.min_zoom, "--min-zoom"), (given.max_zoom, "--max-zoom"))]
-            config = config.with_zooms(*zooms)
+            config = config.with_zooms(option(zoom, given.min_zoom, "--min-zoom"), option(zoom, given.max_zoom, "--max-zoom"))
             check(config)
-            tasks = parse_count(given.transform_processes, "--transform-processes") if given.transform_processes else None
+            tasks = option(count, given.transform_processes, "--transform-processes")
             if not os.path.isfile(given.archive):
                 raise ValueError(f"there is no file {given.archive}")
     except (OSError, ValueError) as error:
@@ -57,7 +56,7 @@ def main(arguments: Sequence[str] | None = None) -> int:
 
         spark = SparkSession.builder.master(f"local[{tasks or '*'}]").appName("stratatile").config("spark.ui.enabled", "false").getOrCreate()
         convert(spark, config, given.archive, given.output_dir or ".", tasks, given.overwrite)
-    except (OSError, ValueError) as error:
+    except (OSError, ValueError, RuntimeError) as error:
         print(f"stratatile {given.command}: {error}", file=sys.stderr)
         return 1
     return 0

@@ -249,11 +249,11 @@ def encode(layers: Sequence[dict[str, Any]], extent: int) -> bytes | None:
     The bytes depend on the content alone (no time stamp, keys and values in
     order of first use), so equal tiles are equal bytes on every executor.
     """
-    out = b""
+    out = bytearray()
     for layer in layers:
         keys: dict[str, int] = {}
         values: dict[tuple[str, Any], int] = {}
-        made = b""
+        made = bytearray()
         for feature in layer["features"]:
             for kind, coordinates in _simple(*wkb.load(feature["wkb"])):
                 code, commands = _commands(kind, coordinates, extent)
@@ -275,6 +275,6 @@ def encode(layers: Sequence[dict[str, Any]], extent: int) -> bytes | None:
             put(size, extent)
             put(version, 15 << 3)
             put(version, 2)
-            body = bytes(version) + _message(1, layer["name"].encode()) + made + b"".join(_message(3, k.encode()) for k in keys) + b"".join(_message(4, _put_value(*v)) for v in values) + bytes(size)
+            body = bytes(version) + _message(1, layer["name"].encode()) + bytes(made) + b"".join(_message(3, k.encode()) for k in keys) + b"".join(_message(4, _put_value(*v)) for v in values) + bytes(size)
             out += _message(3, body)
-    return gzip.compress(out, mtime=0) if out else None
+    return gzip.compress(bytes(out), mtime=0) if out else None

@@ -1,9 +1,7 @@
-"""Layer names and credits, as column expressions and for one value."""
+"""Layer names and credits, as column expressions."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,13 +13,10 @@ def valid_layer_name(name: Column) -> Column:
     return name.rlike(f"^{LAYER_NAME}\\z")
 
 
-def is_layer_name(name: str) -> bool:
-    return re.fullmatch(LAYER_NAME, name) is not None
-
-
 def credited(declared: Column, template: Column) -> Column:
     """What a layer credits: the template with {source} filled in, else what is declared; null if there is nothing."""
-    own = F.nullif(F.trim(declared), F.lit(""))
-    given = F.nullif(F.trim(template), F.lit(""))
-    filled = F.when(F.contains(given, F.lit(SOURCE)) & own.isNull(), F.lit(None)).otherwise(F.trim(F.replace(given, F.lit(SOURCE), F.coalesce(own, F.lit("")))))
+    bare = lambda c: F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
+    own = F.nullif(bare(declared), F.lit(""))
+    given = F.nullif(bare(template), F.lit(""))
+    filled = F.when(F.contains(given, F.lit(SOURCE)) & own.isNull(), F.lit(None)).otherwise(bare(F.replace(given, F.lit(SOURCE), F.coalesce(own, F.lit("")))))
     return F.when(given.isNull(), own).otherwise(filled)

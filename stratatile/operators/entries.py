@@ -68,9 +68,9 @@ def share_count(entries: int, blob_bytes: int, parallelism: int, per_task: int =
     return max(1, min(entries, max(wanted, -(-blob_bytes // most_bytes))))
 
 
-def fan_out(entries: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Entries with what their blob became: N to 1 on (offset, length), left-out outputs (null payload) dropped."""
-    return entries.join(outputs.where("payload is not null"), ["offset", "length"])
+def fan_out(entries: DataFrame, outputs: DataFrame, kept: str = "payload") -> DataFrame:
+    """Entries with what their blob became: N to 1 on (offset, length), left-out outputs (null in ``kept``) dropped."""
+    return entries.join(outputs.where(F.col(kept).isNotNull()), ["offset", "length"])
 
 
 def grouped_by_blob(entries: DataFrame, most: int = 100_000) -> DataFrame:

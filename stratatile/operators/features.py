@@ -65,7 +65,12 @@ def square(extent: Column, buffer_pixels: int) -> Column:
     return F.struct((-buffer).alias("low"), (extent + buffer).alias("high"))
 
 
+def missing_layers(listed: Column, required: frozenset[str]) -> Column:
+    """Names of required layers that aren't listed, sorted."""
+    return F.array_sort(F.array_except(F.array(*map(F.lit, sorted(required))), listed))
+
+
 def fitting_schemas(listed: Column, required: dict[str, frozenset[str]]) -> Column:
     """Names of the schemas whose layers are all listed."""
-    fits = [F.when(F.size(F.array_except(F.array(*map(F.lit, sorted(layers))), listed)) == 0, F.lit(name)) for name, layers in sorted(required.items())]
+    fits = [F.when(F.size(missing_layers(listed, layers)) == 0, F.lit(name)) for name, layers in sorted(required.items())]
     return F.array_compact(F.array(*fits))

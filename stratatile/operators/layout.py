@@ -16,9 +16,9 @@ def digested(outputs: DataFrame, payload: str = "payload") -> DataFrame:
     return outputs.where(F.col(payload).isNotNull()).withColumns({"digest": F.unhex(F.sha2(F.col(payload), 256)), "length": F.octet_length(payload).cast("long")})
 
 
-def distinct_payloads(outputs: DataFrame, group: Sequence[str] = ("profile",)) -> DataFrame:
-    """One row for each distinct payload of a group, with its digest and length."""
-    return outputs.groupBy(*group, "digest").agg(F.first("payload").alias("payload"), F.first("length").alias("length"))
+def distinct_payloads(outputs: DataFrame, group: Sequence[str] = ("profile",), keeps: Sequence[str] = ("payload", "length")) -> DataFrame:
+    """One row for each distinct payload of a group, with its digest and the columns ``keeps`` of one of its outputs."""
+    return outputs.groupBy(*group, "digest").agg(F.min(F.struct(*keeps)).alias("_of")).select(*group, "digest", "_of.*")
 
 
 def first_use(runs: DataFrame, group: Sequence[str] = ("profile",), digest: str = "digest") -> DataFrame:

@@ -22,21 +22,22 @@ from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import log
 from ..functions import geometry, mvt
 from ..functions.tileid import describe_one, zoom_bounds
 from ..operators import entries as ops
 from ..operators import features as fs
 from ..operators import layout, runs
-from ..scratch import materialize
+from ..log import console
+from ..scratch import cleared, materialize
 from ..shipping import ship
 from ..sources.pmtiles import Archive, open_archive
 from ..sources.reader import read_blobs, read_entries
 from ..sources.writer import write_layer
 from . import registry
-from .config import RunConfig, check, compose_attribution, declared_attribution, layer_names, load_profile
+from .config import RunConfig, check, load_profile
+from .credits import check_schema, credit, layer_names
 from .profile import Profile, Tile, TileColumns, as_features
-from .schema import TileSchema, check_schema
+from .schema import TileSchema
 
 MADE_FEATURE = f"struct<program:binary,props:map<string,{fs.VALUE}>>"
 MADE = f"array<struct<profile:int,layers:array<struct<name:string,features:array<{MADE_FEATURE}>>>,payload:binary>>"
@@ -48,6 +49,23 @@ _LAYERS = pa.list_(pa.struct([("name", pa.string()), ("extent", pa.int32()), ("f
 _MADE = pa.list_(pa.struct([("profile", pa.int32()), ("layers", pa.list_(pa.struct([("name", pa.string()), ("features", pa.list_(pa.struct([("program", pa.binary()), ("props", _PROPS)])))]))), ("payload", pa.binary())]))
 
 
+#: Bytes of decoded or packed tiles that a worker has as Python objects at a time, about, and that Spark hands it.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 32 << 20
+
+
+def in_bytes(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many bytes; a larger row is alone."""
+    for b in batches:
+        todo = [b]
+        while todo:
+            x = todo.pop()
+            if x.num_rows <= 1 or x.nbytes <= most:
+                yield x
+            else:
+                half = x.num_rows // 2
+                todo += [x.slice(half), x.slice(0, half)]
+
+
 def to_cell(tag: str, value: Any) -> dict[str, Any]:
     """A property value as the columns hold it."""
     return {"tag": tag, "s": value if tag == "string" else None, "d": float(value) if tag in ("float", "double") else None, "i": Decimal(value) if tag in ("int", "uint", "sint") else None, "b": value if tag == "bool" else None}
@@ -65,7 +83,7 @@ def decode_tiles(blobs: DataFrame) -> DataFrame:
     schema = blobs.select(*kept, F.lit(None).cast(fs.LAYERS).alias("layers")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_bytes(batches):
             made = []
             for payload, tile, length in zip(b.column("payload").to_pylist(), b.column("tile_id").to_pylist(), b.column("run_length").to_pylist(), strict=True):
                 try:
@@ -125,7 +143,7 @@ def apply_profiles(tiles: DataFrame, profiles: Sequence[Profile], schema: TileSc
     out = done.select("offset", "length", "extent", "made").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_bytes(batches):
             made = b.column("made").to_pylist()
             for row, tile_id, length, extent, layers, found in zip(made, *(b.column(c).to_pylist() for c in ("tile_id", "run_length", "extent", "layers", "sets")), strict=True):
                 given = {(k, type(v), v): tag for x in layers for f in x["features"] for k, cell in f["props"] for tag, v in [from_cell(cell)]}
@@ -152,7 +170,7 @@ def encode_tiles(made: DataFrame) -> DataFrame:
     ready = each.select("offset", "length", "profile", "extent", drawn.alias("layers"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_bytes(batches):
             out = []
             for extent, layers, payload in zip(*(b.column(c).to_pylist() for c in ("extent", "layers", "payload")), strict=True):
                 if payload is None:
@@ -166,12 +184,12 @@ def encode_tiles(made: DataFrame) -> DataFrame:
 def build_outputs(spark: SparkSession, archive: Archive, found: DataFrame, profiles: Sequence[Profile], schema: TileSchema) -> DataFrame:
     """Written table (offset, length, profile, payload, digest, size) of every distinct blob and profile."""
     blobs = found.groupBy("offset", "length").agg(F.min(F.struct("tile_id", "run_length")).alias("first")).select("offset", "length", "first.tile_id", "first.run_length")
-    n = found.agg(F.count("*").alias("n")).first()["n"]
+    n = ops.blob_stats(found).first()["blobs"]
     tasks = ops.share_count(max(n, 1), archive.header.data_length, spark.sparkContext.defaultParallelism)
     tiles = decode_tiles(read_blobs(blobs, archive, tasks))
     made = encode_tiles(apply_profiles(tiles, profiles, schema))
     blob_length = made.withColumnRenamed("length", "blob_length")
-    return materialize(layout.digested(blob_length).withColumnRenamed("length", "size").withColumnRenamed("blob_length", "length"), "outputs")
+    return materialize(layout.digested(blob_length).withColumnRenamed("length", "size").withColumnRenamed("blob_length", "length"), "outputs", "profile")
 
 
 def layer_metadata(profile: Profile, schema: TileSchema, attribution: str, min_zoom: int, max_zoom: int) -> dict[str, Any]:
@@ -183,46 +201,68 @@ def convert(spark: SparkSession, config: RunConfig, archive_path: str, output_di
     check(config)
     schema = registry.schema(config.schema)
     profiles = [load_profile(p)() for p in config.profiles]
-    names = layer_names(config.profiles, profiles)
+    names = layer_names(spark, [(path, p.name) for path, p in zip(config.profiles, profiles, strict=True)])
     paths = {name: os.path.join(output_dir, f"{name}.pmtiles") for name in names}
-    for path in paths.values():
-        if os.path.exists(path) and not overwrite:
-            raise ValueError(f"{path} exists; --overwrite replaces it")
+    if taken := [path for path in paths.values() if os.path.exists(path) and not overwrite]:
+        raise ValueError(f"{', '.join(taken)} {'exist' if len(taken) > 1 else 'exists'}; --overwrite replaces what is there")
     archive = open_archive(archive_path)
     low, high = max(config.min_zoom, archive.header.min_zoom), min(config.max_zoom, archive.header.max_zoom)
     if low > high:
         raise ValueError(f"{archive_path} holds zooms {archive.header.min_zoom} to {archive.header.max_zoom}, the run asks for {config.min_zoom} to {config.max_zoom}")
-    attribution = compose_attribution(declared_attribution(archive.metadata), config.attribution)
-    if note := check_schema(schema, archive.metadata, archive_path, [registry.schema(n) for n in registry.schema_names()]):
-        log.warning("schema", note)
+    attribution = credit(spark, archive.metadata, config.attribution)
+    if note := check_schema(spark, schema, archive.metadata, archive_path, [registry.schema(n) for n in registry.schema_names()]):
+        console.warning("schema", note)
     os.makedirs(output_dir, exist_ok=True)
     ship(spark)
     geometry.install(spark)
     parallel = tasks or spark.sparkContext.defaultParallelism
-    found = materialize(read_entries(spark, archive_path, low, high), "entries")
+    bounded = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bounded, None)
+    spark.conf.set(bounded, str(BATCH_BYTES))
     try:
-        outputs = build_outputs(spark, archive, found, profiles, schema)
-    except PythonException as error:
-        if m := re.search(r"RuntimeError: ((?:profile|tile) .*)", str(error)):
-            raise RuntimeError(m.group(1)) from error
-        raise
-    placed = ops.clip_runs(found, *zoom_bounds(low, high)).join(outputs.select("offset", "length", "profile", "digest"), ["offset", "length"])
-    placed = materialize(placed.select("profile", "tile_id", "run_length", "digest"), "runs")
-    bad = runs.overlaps(placed).where("overlapping > 0").orderBy("profile").first()
-    if bad:
-        raise ValueError(f"layer {names[bad['profile']]}: {bad['overlapping']} runs overlap the run before, the first at {describe_one(bad['first_overlap'])}")
-    merged = materialize(runs.merge_runs(placed), "merged")
-    payloads = layout.distinct_payloads(outputs.select("profile", "digest", "payload", F.col("size").alias("length")))
-    blobs = materialize(layout.lay_out(payloads.join(layout.first_use(merged), ["profile", "digest"])), "blobs")
+        with cleared():
+            return _build(spark, archive, profiles, schema, (low, high), attribution, paths, parallel)
+    finally:
+        spark.conf.unset(bounded) if before is None else spark.conf.set(bounded, before)
+
+
+def _build(spark: SparkSession, archive: Archive, profiles: Sequence[Profile], schema: TileSchema, zooms: tuple[int, int], attribution: str, paths: dict[str, str], parallel: int) -> list[str]:
+    """The layers of a checked run."""
+    names = list(paths)
+    with console.step(f"read {archive.path}", spark):
+        found = materialize(read_entries(spark, archive.path, *zooms), "entries")
+    with console.step(f"build {', '.join(names)}", spark):
+        try:
+            outputs = build_outputs(spark, archive, found, profiles, schema)
+        except PythonException as error:
+            if m := re.search(r"RuntimeError: ((?:profile|tile) .*)", str(error)):
+                raise RuntimeError(m.group(1)) from error
+            raise
+    with console.step("lay out", spark):
+        narrow = outputs.select("offset", "length", "profile", "digest", "size")
+        placed = ops.fan_out(ops.clip_runs(found, *zoom_bounds(*zooms)), narrow, kept="digest")
+        placed = materialize(placed.select("profile", "tile_id", "run_length", "digest"), "runs")
+        bad = runs.overlaps(placed).where("overlapping > 0").orderBy("profile").first()
+        if bad:
+            raise ValueError(f"layer {names[bad['profile']]}: {bad['overlapping']} runs overlap the run before, the first at {describe_one(bad['first_overlap'])}")
+        merged = materialize(runs.merge_runs(placed), "merged", "profile")
+        # digests and lengths are laid out; payloads stay where they were written until the file's order is known
+        contents = layout.distinct_payloads(narrow.withColumnsRenamed({"offset": "from_offset", "length": "from_length", "size": "length"}), keeps=("length", "from_offset", "from_length"))
+        blobs = materialize(layout.lay_out(contents.join(layout.first_use(merged), ["profile", "digest"])), "blobs", "profile")
+        stats = {r["profile"]: r for r in layout.layer_stats(merged).collect()}  # one row for each layer
     written = []
     for i, (name, profile) in enumerate(zip(names, profiles, strict=True)):
         own = F.col("profile") == i
-        metadata = layer_metadata(profile, schema, attribution, low, high)
-        if write_layer(merged.where(own), blobs.where(own), metadata, archive.header, paths[name], parallel):
-            written.append(paths[name])
-            log.status(f"layer: {paths[name]}")
-        else:
-            log.status(f"layer: {name} has no tiles")
+        if i not in stats:
+            console.line(f"layer: {name} has no tiles")
             if os.path.exists(paths[name]):
                 os.remove(paths[name])
+            continue
+        with console.step(f"write {paths[name]}", spark):
+            metadata = layer_metadata(profile, schema, attribution, *zooms)
+            spots = blobs.where(own).select(F.col("from_offset").alias("offset"), F.col("from_length").alias("length"), "layout_offset")
+            payloads = outputs.where(own).select("offset", "length", "payload").join(spots, ["offset", "length"])
+            write_layer(merged.where(own), blobs.where(own), payloads, stats[i], metadata, archive.header, paths[name], parallel)
+        written.append(paths[name])
+        console.line(f"layer: {paths[name]}")
     return written

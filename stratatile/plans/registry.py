@@ -1,46 +1,44 @@
-"""Schemas by name: the shipped ones, and those of installed packages.
+"""Schemas by name, from entry points of the group ``stratatile.schemas``.
 
-A package offers schemas as entry points of the group ``stratatile.schemas``;
-the name of the entry point and of the schema must be the same.
+A package offers a schema, or a class of them, under the schema's own name. The
+schemas that come with this package are entry points like any other; they are
+listed here too, so that a checkout that isn't installed has them.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import cache
-from importlib.metadata import entry_points
+from importlib.metadata import EntryPoint, entry_points
 
-from .schema import OpenMapTiles, Protomaps, TileSchema
+from .schema import TileSchema
 
 GROUP = "stratatile.schemas"
-SHIPPED: tuple[TileSchema, ...] = (OpenMapTiles(), Protomaps())
+SHIPPED = tuple(EntryPoint(name, f"stratatile.plans.schema:{kind}", GROUP) for name, kind in (("openmaptiles", "OpenMapTiles"), ("protomaps", "Protomaps")))
 
 
 @cache
-def offered() -> dict[str, object]:
-    """Entry points by name; ValueError if two packages offer one name, or one of ours."""
-    found: dict[str, object] = {}
-    owner = {s.name: "this package" for s in SHIPPED}
-    for point in entry_points(group=GROUP):
-        whose = point.dist.name if point.dist else point.value
-        if point.name in owner:
-            raise ValueError(f"schema {point.name!r} is offered by {owner[point.name]} and by {whose}; uninstall one of them")
-        owner[point.name] = whose
-        found[point.name] = point
-    return found
+def catalogue() -> dict[str, EntryPoint]:
+    """The entry point of each name; ValueError with all names that several packages offer."""
+    offers: dict[str, dict[str, EntryPoint]] = defaultdict(dict)
+    for point in (*SHIPPED, *entry_points(group=GROUP)):
+        offers[point.name].setdefault(point.value, point)  # a point that is listed twice is one
+    if clashes := [f"{name} ({', '.join(sorted(of))})" for name, of in sorted(offers.items()) if len(of) > 1]:
+        raise ValueError(f"more than one package offers the schema {'; '.join(clashes)}: uninstall all but one")
+    return {name: next(iter(of.values())) for name, of in sorted(offers.items())}
 
 
 def schema_names() -> list[str]:
-    return sorted({s.name for s in SHIPPED} | set(offered()))
+    return list(catalogue())
 
 
 @cache
 def schema(name: str) -> TileSchema:
-    for own in SHIPPED:
-        if own.name == name:
-            return own
-    if name not in offered():
-        raise ValueError(f"no schema {name!r} is installed; installed are {', '.join(schema_names())}")
-    loaded = offered()[name].load()
-    if loaded.name != name:
-        raise ValueError(f"the schema that is installed as {name!r} has the name {loaded.name!r}; both must be the same")
-    return loaded
+    try:
+        loaded = catalogue()[name].load()
+    except KeyError:
+        raise ValueError(f"no schema {name!r} is installed; installed are {', '.join(catalogue())}") from None
+    made = loaded() if isinstance(loaded, type) else loaded
+    if made.name != name:
+        raise ValueError(f"the entry point {name!r} leads to a schema that has the name {made.name!r}")
+    return made

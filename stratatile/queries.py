@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, tileid
 from .operators import entries, features, layout, runs
+from .plans import roundtrip
 
 #: Small buckets, so that the carries between them are used at test sizes.
 WIDTH = 512
@@ -140,8 +141,8 @@ def name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event kinds a user has, as listed layers: which required one is missing."""
     listed = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("listed"))
-    required = F.array(*map(F.lit, ("click", "error", "purchase", "view")))
-    return listed.select("user_id", F.array_join(F.array_sort(F.array_except(required, "listed")), ",").alias("missing"), F.array_join(features.fitting_schemas(F.col("listed"), {"one": frozenset({"click", "view"}), "two": frozenset({"purchase"})}), ",").alias("fits"))
+    required = frozenset({"click", "error", "purchase", "view"})
+    return listed.select("user_id", F.array_join(features.missing_layers(F.col("listed"), required), ",").alias("missing"), F.array_join(features.fitting_schemas(F.col("listed"), {"one": frozenset({"click", "view"}), "two": frozenset({"purchase"})}), ",").alias("fits"))
 
 
 def union_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +169,7 @@ def layer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (layer_pipeline, zoom_bounds, clip, blob_count, islands, overlap, blob_layout, payload_dedup, shares, feature_set, hilbert_z12, zoom_of_id, hilbert_inverse, fanout_join, fanout_grouped, profile_cross, leaf_bound, layer_stats, buffered_square, attribution, name_check, missing_layers, union_layers, sorted_dedup)
-}
+} | roundtrip.QUERIES
 
 _ISLANDS = """
 SELECT min(tile_id) AS tile_id, CAST(sum(run_length) AS BIGINT) AS run_length, any_value(blob) AS blob FROM (
@@ -233,4 +234,4 @@ WITH runs AS ({_ISLANDS.format(source="SELECT o_orderkey AS tile_id, 1 AS run_le
 blobs AS (SELECT blob, min(tile_id) AS first_id, ascii(blob) AS length FROM runs GROUP BY 1),
 placed AS (SELECT *, CAST(coalesce(sum(length) OVER (ORDER BY first_id, blob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS layout_offset FROM blobs)
 SELECT tile_id, run_length, layout_offset AS "offset", CAST(length AS BIGINT) AS length FROM runs JOIN placed USING (blob)""",
-}
+} | roundtrip.ORACLE_SQL

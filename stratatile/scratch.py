@@ -29,15 +29,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'stratatile-checkpoints')}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
+    ``by``: a column of few values; what filters one of them reads no others.
     The table stays until it is discarded, its block of ``cleared`` ends, or Python does.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/stratatile-{name}-{uuid.uuid4().hex}"
     _HELD[path] = spark
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._scratch = path
     return read

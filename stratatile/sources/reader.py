@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.tileid import zoom_bounds
+from ..operators.entries import share_cut
 from ..shipping import ship
 from .pmtiles import Archive, Entry, Header, open_archive, read_range, split, walk
 
@@ -129,9 +130,11 @@ def spans(rows: list[tuple[int, int]]) -> Iterator[list[int]]:
 def read_blobs(blobs: DataFrame, archive: Archive, partitions: int) -> DataFrame:
     """Adds payload to ``blobs(offset, length)`` and keeps other columns.
 
-    Each task gets neighbours in the file and reads them in few long reads.
+    Each task gets neighbours in the file, of about as many bytes as the other
+    tasks, and reads them in few long reads.
     """
-    ordered = blobs.repartitionByRange(partitions, "offset").sortWithinPartitions("offset", "length")
+    dealt = share_cut(blobs, partitions).repartitionById(partitions, F.col("share"))
+    ordered = dealt.drop("share").sortWithinPartitions("offset", "length")
     schema = ordered.select("*", F.lit(None).cast("binary").alias("payload")).schema
     path, base = archive.path, archive.header.data_offset
     at = [ordered.columns.index(c) for c in ("offset", "length")]

@@ -17,36 +17,50 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.tileid import zoom_of
+from ..scratch import discard, materialize
 from .pmtiles import HEADER_BYTES, ROOT_BYTES, Entry, Header, pack_directory
 
 #: Entries in a leaf at first; doubled until the root fits its place.
 LEAF_ENTRIES = 4_096
+#: Bytes that are written at once, about.
+STEP = 8 << 20
 
 
 def packed_metadata(metadata: dict) -> bytes:
     return gzip.compress(json.dumps(metadata, ensure_ascii=False).encode(), mtime=0)
 
 
-def write_blobs(blobs: DataFrame, path: str, base: int) -> int:
-    """Writes ``blobs(layout_offset, payload)`` into the file from byte ``base`` on; bytes written."""
+def write_blobs(blobs: DataFrame, path: str, base: int, partitions: int) -> int:
+    """Writes ``blobs(layout_offset, payload)`` into the file from byte ``base`` on; bytes written.
+
+    Each task has neighbours in the file and writes up to STEP bytes of them at once.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         file = os.open(path, os.O_WRONLY)
         try:
+            begin, waiting, size = 0, [], 0
             for b in batches:
-                for at, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    os.pwrite(file, payload, base + at)
-                    total += len(payload)
+                for at, payload in zip(b.column(0), b.column(1), strict=True):
+                    if waiting and (at.as_py() != begin + size or size >= STEP):
+                        total += os.pwrite(file, b"".join(waiting), base + begin)
+                        waiting, size = [], 0
+                    if not waiting:
+                        begin = at.as_py()
+                    waiting.append(payload.as_py())
+                    size += len(waiting[-1])
+            total += os.pwrite(file, b"".join(waiting), base + begin)
             os.fsync(file)
         finally:
             os.close(file)
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["bytes"])
 
-    return blobs.select("layout_offset", "payload").mapInArrow(run, "bytes long").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    ordered = blobs.select("layout_offset", "payload").repartitionByRange(partitions, "layout_offset").sortWithinPartitions("layout_offset")
+    return ordered.mapInArrow(run, "bytes long").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
 
 
 def leaf_tables(entries: DataFrame, partitions: int, size: int) -> DataFrame:
@@ -69,17 +83,13 @@ def leaf_tables(entries: DataFrame, partitions: int, size: int) -> DataFrame:
     return ordered.mapInArrow(run, "tile_id long, n long, directory binary")
 
 
-def write_layer(runs: DataFrame, blobs: DataFrame, metadata: dict, source: Header, path: str, partitions: int) -> bool:
-    """Writes ``runs(tile_id, run_length, digest)`` and ``blobs(digest, payload, length, layout_offset)``.
+def write_layer(runs: DataFrame, blobs: DataFrame, payloads: DataFrame, stats: Row, metadata: dict, source: Header, path: str, partitions: int) -> None:
+    """Writes ``runs(tile_id, run_length, digest)``, ``blobs(digest, length, layout_offset)`` and ``payloads(layout_offset, payload)``.
 
-    Both are written tables, as they are read more than once. False, and no
-    file, if there are no runs.
+    All are written tables or read once; ``stats`` is the layer's row of
+    ``layer_stats``. Payloads are put into the file's order here and nowhere else.
     """
-    last = F.col("tile_id") + F.col("run_length") - 1
-    sums = runs.agg(F.count("*").alias("n"), F.sum("run_length").alias("tiles"), zoom_of(F.min("tile_id")).alias("low"), zoom_of(F.max(last)).alias("high")).first()
-    if not sums["n"]:
-        return False
-    contents = blobs.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    size = blobs.agg(F.sum("length")).first()[0]
     described = packed_metadata(metadata)
     base = ROOT_BYTES + len(described)
     unfinished = f"{path}.tmp"
@@ -87,16 +97,16 @@ def write_layer(runs: DataFrame, blobs: DataFrame, metadata: dict, source: Heade
         with open(unfinished, "wb") as file:
             file.seek(ROOT_BYTES)
             file.write(described)
-            file.truncate(base + contents["bytes"])
-        written = write_blobs(blobs, unfinished, base)
-        if written != contents["bytes"]:
-            raise OSError(f"{written} bytes of tiles were written to {unfinished}, not {contents['bytes']}")
+            file.truncate(base + size)
+        written = write_blobs(payloads, unfinished, base, partitions)
+        if written != size:
+            raise OSError(f"{written} bytes of tiles were written to {unfinished}, not {size}")
         placed = runs.join(blobs.select("digest", "length", F.col("layout_offset").alias("offset")), "digest")
-        leaf_at = base + contents["bytes"]
-        leaf_length, root = _write_directories(placed, sums["n"], unfinished, leaf_at, partitions)
+        leaf_at = base + size
+        leaf_length, root = _write_directories(placed, stats["entries"], unfinished, leaf_at, partitions)
         header = replace(
-            source, root_offset=HEADER_BYTES, root_length=len(root), metadata_offset=ROOT_BYTES, metadata_length=len(described), leaf_offset=leaf_at, leaf_length=leaf_length, data_offset=base, data_length=contents["bytes"],
-            addressed_tiles=sums["tiles"], tile_entries=sums["n"], tile_contents=contents["n"], clustered=1, min_zoom=sums["low"], max_zoom=sums["high"], center_zoom=min(max(source.center_zoom, sums["low"]), sums["high"]),
+            source, root_offset=HEADER_BYTES, root_length=len(root), metadata_offset=ROOT_BYTES, metadata_length=len(described), leaf_offset=leaf_at, leaf_length=leaf_length, data_offset=base, data_length=size,
+            addressed_tiles=stats["addressed_tiles"], tile_entries=stats["entries"], tile_contents=stats["contents"], clustered=1, min_zoom=stats["min_zoom"], max_zoom=stats["max_zoom"], center_zoom=min(max(source.center_zoom, stats["min_zoom"]), stats["max_zoom"]),
         )
         with open(unfinished, "r+b") as file:
             file.write(header.pack() + root)
@@ -105,7 +115,6 @@ def write_layer(runs: DataFrame, blobs: DataFrame, metadata: dict, source: Heade
         if os.path.exists(unfinished):
             os.remove(unfinished)
         raise
-    return True
 
 
 def _write_directories(placed: DataFrame, n: int, path: str, at: int, partitions: int) -> tuple[int, bytes]:
@@ -119,8 +128,7 @@ def _write_directories(placed: DataFrame, n: int, path: str, at: int, partitions
     size = LEAF_ENTRIES
     while True:
         tasks = max(1, min(partitions, n // size))
-        tables = leaf_tables(placed, tasks, size)
-        tables = tables.persist()
+        tables = materialize(leaf_tables(placed, tasks, size), "leaves")
         sizes = tables.select("tile_id", F.octet_length("directory").alias("length")).orderBy("tile_id").collect()  # one row for each leaf
         pointers, offset = [], 0
         for r in sizes:
@@ -129,7 +137,7 @@ def _write_directories(placed: DataFrame, n: int, path: str, at: int, partitions
         root = pack_directory(pointers)
         if len(root) <= room:
             break
-        tables.unpersist()
+        discard(tables)
         size *= 2
     place = {p.tile_id: p.offset for p in pointers}
 
@@ -147,7 +155,7 @@ def _write_directories(placed: DataFrame, n: int, path: str, at: int, partitions
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["bytes"])
 
     written = tables.select("tile_id", "directory").mapInArrow(run, "bytes long").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    tables.unpersist()
+    discard(tables)
     if written != offset:
         raise OSError(f"{written} bytes of directories were written to {path}, not {offset}")
     return offset, root

@@ -1,15 +1,19 @@
+import io
 import json
+import re
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
 import archives
-from stratatile import cli, log
+from stratatile import cli
 from stratatile.functions import mvt, wkb
-from stratatile.plans import config, install, registry
-from stratatile.plans.schema import SURFACE_WATER, FeatureSet, OpenMapTiles, Protomaps, check_schema
+from stratatile.log import Console
+from stratatile.plans import config, credits, install, registry
+from stratatile.plans.schema import SURFACE_WATER, FeatureSet, OpenMapTiles, Protomaps
 from stratatile.sources.pmtiles import Entry, pack_directory, parse_directory, split
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -34,16 +38,17 @@ def test_a_full_config(tmp_path):
     "text, why",
     [
         ("profiles = []", "lists no file"),
-        ('profiles = ["q.py"]', "no profile"),
+        ('profiles = ["q.py"]', "no such file"),
         ("profiles = 3", "takes a list"),
         ("profiles = [3]", "takes text"),
-        ('profiles = ["p.py"]\ncolour = 1', "'colour' is not a key"),
-        ('profiles = ["p.py"]\nmin_zoom = 1.5', "a zoom is"),
-        ('profiles = ["p.py"]\nmin_zoom = true', "a zoom is"),
-        ('profiles = ["p.py"]\nmax_zoom = 31', "a zoom is"),
+        ('profiles = ["p.py"]\ncolour = 1', "colour is no key"),
+        ('profiles = ["p.py"]\nmin_zoom = 1.5', "whole number from 0"),
+        ('profiles = ["p.py"]\nmin_zoom = true', "whole number from 0"),
+        ('profiles = ["p.py"]\nmax_zoom = 31', "whole number from 0"),
         ('profiles = ["p.py"]\nschema = 1', "takes text"),
-        ('profiles = ["p.py"]\nplugins = ["./none"]', "no plugin folder"),
+        ('profiles = ["p.py"]\nplugins = ["./none"]', "no such folder"),
         ("profiles = [", "run.toml"),
+        ('schema = 1\nmax_zoom = "x"', "lists no file.*schema takes text.*max_zoom takes"),
     ],
 )
 def test_wrong_configs(tmp_path, text, why):
@@ -61,36 +66,35 @@ def test_checks(tmp_path):
 
 def test_profiles(tmp_path):
     bad = tmp_path / "bad.py"
-    for text, why in (("import no_such_module_here", "not installed"), ("x = 1", "no PROFILE")):
+    for text, why in (("import no_such_module_here", "needs the module"), ("x = 1", "no PROFILE")):
         bad.write_text(text)
         with pytest.raises(ValueError, match=why):
             config.load_profile(str(bad))
-    with pytest.raises(ValueError, match="no profile"):
+    with pytest.raises(ValueError, match="no file"):
         config.load_profile(str(tmp_path / "none.py"))
-
-    class P:
-        name = "a"
-
-    class Q:
-        name = "a/b"
-
-    with pytest.raises(ValueError, match="two profiles"):
-        config.layer_names(("x", "y"), [P(), P()])
-    with pytest.raises(ValueError, match="can't name"):
-        config.layer_names(("x",), [Q()])
-
-
-def test_attribution():
-    assert config.declared_attribution({"attribution": "  x "}) == "x"
-    assert config.declared_attribution({"attribution": " "}) is None and config.declared_attribution({}) is None
+    bad.write_text("import os\nPROFILE = type('P', (), {'name': os.path.basename('x/y')})")
+    assert config.load_profile(str(bad)).name == "y"
+
+
+def test_names_of_layers(spark):
+    assert credits.layer_names(spark, [("x", "b"), ("y", "a.1_-")]) == ["b", "a.1_-"]
+    with pytest.raises(ValueError, match="x, z have the same name 'a'.*'a/b' of y is no name"):
+        credits.layer_names(spark, [("x", "a"), ("y", "a/b"), ("z", "a")])
+    for bad in ("", "-a", "a\n", "é"):
+        with pytest.raises(ValueError, match="no name"):
+            credits.layer_names(spark, [("x", bad)])
+
+
+def test_credits(spark):
+    credit = lambda declared, template: credits.credit(spark, {} if declared is None else {"attribution": declared}, template)
+    assert credit("  x\n", None) == credit("x", " \t") == "x"
+    assert credit("a", "b {source} ") == "b a" and credit(None, "b") == credit(" ", "b") == "b"
+    for declared, template in ((None, None), (" ", None), (None, "x {source}")):
+        with pytest.raises(ValueError, match="nothing to credit"):
+            credit(declared, template)
     for bad in ([], {"attribution": 3}):
-        with pytest.raises(ValueError):
-            config.declared_attribution(bad)
-    assert config.compose_attribution("a", None) == config.compose_attribution("a", " ") == "a"
-    assert config.compose_attribution("a", "b {source}") == "b a" and config.compose_attribution(None, "b") == "b"
-    for declared, template in ((None, None), (None, "x {source}")):
-        with pytest.raises(ValueError):
-            config.compose_attribution(declared, template)
+        with pytest.raises(ValueError, match="is a"):
+            credits.credit(spark, bad, "b")
 
 
 def test_script_blocks(tmp_path):
@@ -104,13 +108,31 @@ def test_script_blocks(tmp_path):
     one, two = tmp_path / "1.py", tmp_path / "2.py"
     one.write_text(text)
     two.write_text(text.replace("a>=1", "c"))
-    assert install.requirements(config.RunConfig((str(one), str(two)), plugins=("p", "p"))) == [["p"], ["a>=1", "b", "c"]]
+    assert install.requirements(config.RunConfig((str(one), str(two)), plugins=("p", "p"))) == {"plugins": ["p"], "dependencies of profiles": ["a>=1", "b", "c"]}
     one.write_text("# /// script\n# dependencies = 'a'\n# ///\n")
     with pytest.raises(ValueError, match="no list"):
         install.profile_requirements(str(one))
+    one.write_text("# /// script\n# x = \n# ///\n")
+    with pytest.raises(ValueError, match="1.py"):
+        install.profile_requirements(str(one))
+
 
+def test_installers(monkeypatch, capsys, tmp_path):
+    steps = {"plugins": ["p"], "dependencies of profiles": []}
+    monkeypatch.setattr(install, "INSTALLERS", ((lambda: None, ("pip",)), (lambda: "uv", ("uv", "add"))))
+    assert list(install.commands(steps, "c")) == [("plugins", ["uv", "add", "--constraint", "c", "p"])]
+    monkeypatch.setattr(install, "INSTALLERS", ((lambda: None, ("pip",)),))
+    with pytest.raises(RuntimeError, match="neither pip nor uv"):
+        list(install.commands(steps, "c"))
+    install.setup(config.RunConfig(()))
+    assert "nothing to be installed" in capsys.readouterr().err
+    monkeypatch.setattr(install, "INSTALLERS", ((lambda: True, (sys.executable, "-c", "raise SystemExit(3)")),))
+    with pytest.raises(RuntimeError, match="status 3.*run setup again"):
+        install.setup(config.RunConfig((), plugins=("p",)))
+    assert cli.main(["setup", write(tmp_path, 'profiles = ["p.py"]\nplugins = ["p"]')]) == 1
 
-def test_schemas():
+
+def test_schemas(spark):
     assert registry.schema_names() == ["openmaptiles", "protomaps"]
     with pytest.raises(ValueError, match="no schema 'x'"):
         registry.schema("x")
@@ -123,16 +145,30 @@ def test_schemas():
 
     assert set(More().sets()) == set(Protomaps().sets())
     both = [OpenMapTiles(), Protomaps()]
-    assert check_schema(both[1], {"vector_layers": [{"id": "water"}, {"id": "earth"}]}, "a", both) is None
-    assert "without a check" in check_schema(both[1], {}, "a", both)
-    with pytest.raises(ValueError, match="one that a plugin provides"):
-        check_schema(both[1], {"vector_layers": []}, "a", both)
+    check = lambda metadata: credits.check_schema(spark, both[1], metadata, "a", both)
+    assert check({"vector_layers": [{"id": "water"}, {"id": "earth"}]}) is None
+    assert "lists no vector_layers" in check({})
+    with pytest.raises(ValueError, match="lacks earth, water.*look for a plugin"):
+        check({"vector_layers": []})
+    with pytest.raises(ValueError, match="lacks earth, .*fit: openmaptiles"):
+        check({"vector_layers": [{"id": "water"}, {"id": "waterway"}]})
     with pytest.raises(ValueError, match="no id"):
-        check_schema(both[1], {"vector_layers": [{}]}, "a", both)
-
-
-def test_log_templates_are_filled_once():
-    assert log.filled("{title}|{message}|{x}", {"title": "{message}", "message": "m"}) == "{message}|m|{x}"
+        check({"vector_layers": [{}]})
+
+
+def test_lines_of_a_run(spark, monkeypatch):
+    out = io.StringIO()
+    console = Console(out)
+    monkeypatch.setenv("STRATATILE_LOG_WARNING", "{title}|{message}|{x}")
+    console.warning("{message}", "m")
+    monkeypatch.setenv("STRATATILE_LOG_END_GROUP", "end {title}")
+    with console.step("one"):
+        console.line("inside")
+    assert out.getvalue().splitlines() == ["{message}|m|{x}", "one:", "inside", "end one"]
+    with console.step("slow", spark, 0.2):
+        spark.range(0, 8, 1, 8).mapInPandas(lambda rows: (time.sleep(0.5) or b for b in rows), "id long").count()
+    lines = out.getvalue().splitlines()
+    assert any(re.fullmatch(r"update: slow: \d+/\d+ tasks \(\d+\.\d%\) of \d+ running stages", x) for x in lines) and lines[-1] == "end slow"
 
 
 def test_directories_round_trip():

@@ -154,7 +154,7 @@ def test_errors(spark, tmp_path):
     broken = COPY.replace("return [", "raise KeyError('x'); return [")
     with pytest.raises(RuntimeError, match=r"profile 'surface-water' failed on tile \d/\d/\d"):
         convert(spark, config(tmp_path, broken), good, out)
-    with pytest.raises(ValueError, match="no layer waterway.*'protomaps'"):
+    with pytest.raises(ValueError, match="lacks waterway.*fit: protomaps"):
         convert(spark, config(tmp_path, COPY, schema="openmaptiles"), good, out)
     with pytest.raises(ValueError, match="holds zooms 0 to 3"):
         convert(spark, config(tmp_path, COPY, min_zoom=5, max_zoom=6), good, out)

@@ -40,12 +40,12 @@ PROFILE = Borders
 @pytest.fixture
 def offered(monkeypatch):
     def offer(*points):
-        registry.offered.cache_clear()
+        registry.catalogue.cache_clear()
         registry.schema.cache_clear()
         monkeypatch.setattr(registry, "entry_points", lambda group: [EntryPoint(name, value, group) for name, value in points])
 
     yield offer
-    registry.offered.cache_clear()
+    registry.catalogue.cache_clear()
     registry.schema.cache_clear()
 
 
@@ -58,7 +58,7 @@ def test_schemas_of_packages(offered):
         registry.schema("other")
     for twice in ([("a", "test_plugins:SCHEMA"), ("a", "test_convert:SCHEMA")], [("protomaps", "test_plugins:SCHEMA")]):
         offered(*twice)
-        with pytest.raises(ValueError, match="uninstall one"):
+        with pytest.raises(ValueError, match="uninstall all but one"):
             registry.schema_names()
 
 
