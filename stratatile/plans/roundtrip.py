@@ -146,8 +146,8 @@ def convert_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("lakes", "streams"):
         rows = _decoded(spark, made[name])
         prop = lambda key, part: F.try_element_at("props", F.lit(key))[part]
-        flat = rows.select("tile_id", "layer", "geom_type", "wkb", prop("kind", "s").alias("kind"), prop("n", "i").cast("long").alias("n"), prop("deep", "b").alias("deep"))
-        part = flat.mapInArrow(measure, "tile_id long, layer string, geom_type string, kind string, n long, deep boolean, x0 long, y0 long, x1 long, y1 long")
+        flat = rows.select("tile_id", "layer", "geom_type", "wkb", prop("kind", "s").alias("kind"), F.coalesce(prop("n", "i").cast("long"), F.lit(-1)).alias("n"), F.coalesce(prop("deep", "b").cast("string"), F.lit("")).alias("deep"))
+        part = flat.mapInArrow(measure, "tile_id long, layer string, geom_type string, kind string, n long, deep string, x0 long, y0 long, x1 long, y1 long")
         done = part if done is None else done.unionByName(part)
     return done
 
@@ -189,7 +189,7 @@ SELECT layer, count(*) AS addressed_tiles, count(DISTINCT content) AS tile_conte
   layer AS name, 'Made, &copy; Rows' AS attribution, '1' AS minzoom, layer AS layer_id FROM zoomed GROUP BY layer""",
     "convert_features": f"""
 WITH tiles AS ({_TILES})
-SELECT t AS tile_id, 'lakes' AS layer, 'Polygon' AS geom_type, 'lake' AS kind, c % 4 AS n, CAST(NULL AS BOOLEAN) AS deep, 512 * (c % 4) AS x0, 1024::BIGINT AS y0, 512 * (c % 4) + 1024 AS x1, 2048::BIGINT AS y1 FROM tiles WHERE s = 'F'
-UNION ALL SELECT t, 'streams', 'LineString', 'stream', NULL, c % 2 = 0, 0, 0, 100 + c % 3, 50 FROM tiles WHERE s = 'O'""",
+SELECT t AS tile_id, 'lakes' AS layer, 'Polygon' AS geom_type, 'lake' AS kind, c % 4 AS n, '' AS deep, 512 * (c % 4) AS x0, 1024::BIGINT AS y0, 512 * (c % 4) + 1024 AS x1, 2048::BIGINT AS y1 FROM tiles WHERE s = 'F'
+UNION ALL SELECT t, 'streams', 'LineString', 'stream', -1, CAST(c % 2 = 0 AS VARCHAR), 0, 0, 100 + c % 3, 50 FROM tiles WHERE s = 'O'""",
     "convert_land": f"SELECT t AS tile_id, 2 * (4352::BIGINT * 4352 - CASE WHEN s = 'F' THEN 1024 * 1024 + 2 * 1024 ELSE 0 END) AS area2 FROM ({_TILES} AND o_orderkey < 1365)",
 }
