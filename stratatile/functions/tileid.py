@@ -1,15 +1,20 @@
 """Hilbert tile ids as column expressions.
 
 Ids count the tiles of all lower zooms first, then follow the Hilbert curve.
-All functions stay in the JVM; zooms go up to 30, so ids fit a BIGINT.
+All functions stay in the JVM; zooms go up to 30, so ids fit a BIGINT. The
+curve is walked by look-ups in a table of a few bits at a time, which compile
+into the stage's code, as a fold over the bits would not.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_ZOOM = 30
+#: Bits of x and of y that one look-up takes; they divide MAX_ZOOM.
+STEP_BITS = 5
 
 
 def first_id(zoom: Column | int) -> Column:
@@ -29,45 +34,78 @@ def zoom_of(tile_id: Column) -> Column:
 
 
 def tile_id(zoom: Column, x: Column, y: Column) -> Column:
-    """Id of tile zoom/x/y: one step of the curve for each bit of x and y, highest first."""
-    one = F.lit(1).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("d"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    """Id of tile zoom/x/y: the curve from the highest bits of x and y, STEP_BITS of each at a time."""
+    table, state, place = F.lit(_TO_CURVE), _start(zoom), F.lit(0).cast("long")
+    for low in _SHIFTS:
+        found = _look_up(table, state, _bits(x, low, STEP_BITS) * (1 << STEP_BITS) + _bits(y, low, STEP_BITS))
+        state = _state(found)
+        place = place + F.shiftleft(_rest(found).cast("long"), 2 * low)
+    return first_id(zoom) + place
 
-    def bit(v: Column, b: Column) -> Column:
-        return F.call_function("shiftright", v, b).bitwiseAND(one)
 
-    def step(s: Column, b: Column) -> Column:
-        side = F.call_function("shiftleft", one, b)
-        rx, ry = bit(s["x"], b), bit(s["y"], b)
-        low_x, low_y = s["x"].bitwiseAND(side - 1), s["y"].bitwiseAND(side - 1)
-        flip = (rx == 1) & (ry == 0)
-        fx, fy = F.when(flip, side - 1 - low_x).otherwise(low_x), F.when(flip, side - 1 - low_y).otherwise(low_y)
-        return F.struct((s["d"] + side * side * (rx * 3).bitwiseXOR(ry)).alias("d"), F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"))
+def tile_zxy(tile: Column) -> Column:
+    """struct(z, x, y) of an id: the same steps with the table turned round."""
+    zoom = zoom_of(tile)
+    table, state, place = F.lit(_FROM_CURVE), _start(zoom), tile - first_id(zoom)
+    x = y = F.lit(0).cast("long")
+    for low in _SHIFTS:
+        found = _look_up(table, state, _bits(place, 2 * low, 2 * STEP_BITS))
+        state, cell = _state(found), _rest(found)
+        x = x + F.shiftleft(F.shiftright(cell, STEP_BITS).cast("long"), low)
+        y = y + F.shiftleft(cell.bitwiseAND(F.lit((1 << STEP_BITS) - 1)).cast("long"), low)
+    return F.struct(zoom.alias("z"), x.alias("x"), y.alias("y"))
 
-    z = zoom.cast("int")
-    bits = F.when(z > 0, F.sequence(z - 1, F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return first_id(zoom) + F.aggregate(bits, start, step, lambda s: s["d"])
 
+def _curve_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(state, bits of x, bits of y) -> (state after, bits of the place on the curve), and the way back.
 
-def tile_zxy(tile: Column) -> Column:
-    """struct(z, x, y) of an id: the curve walked back, lowest two bits first."""
-    zoom = zoom_of(tile)
-    one = F.lit(1).cast("long")
-    start = F.struct((tile - first_id(zoom)).alias("d"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-
-    def step(s: Column, b: Column) -> Column:
-        side = F.call_function("shiftleft", one, b)
-        q = s["d"].bitwiseAND(F.lit(3).cast("long"))
-        rx = F.call_function("shiftright", q, F.lit(1)).bitwiseAND(one)
-        ry = q.bitwiseXOR(rx).bitwiseAND(one)
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, side - 1 - s["x"]).otherwise(s["x"]), F.when(flip, side - 1 - s["y"]).otherwise(s["y"])
-        nx, ny = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-        return F.struct(F.call_function("shiftright", s["d"], F.lit(2)).alias("d"), (nx + side * rx).alias("x"), (ny + side * ry).alias("y"))
-
-    bits = F.when(zoom > 0, F.sequence(F.lit(0), zoom - 1)).otherwise(F.array().cast("array<int>"))
-    place = F.aggregate(bits, start, step)
-    return F.struct(zoom.alias("z"), place["x"].alias("x"), place["y"].alias("y"))
+    A state says how the square at hand lies: whether x and y are swapped (1)
+    and whether both run backwards (2). It is the table's upper index, and the
+    upper part of what the table holds.
+    """
+    cells = 1 << 2 * STEP_BITS
+    there, back = np.zeros(4 * cells, np.int32), np.zeros(4 * cells, np.int32)
+    for state in range(4):
+        for cell in range(cells):
+            swapped, backwards = state & 1, state >> 1
+            place = 0
+            for b in reversed(range(STEP_BITS)):
+                rx, ry = cell >> STEP_BITS + b & 1 ^ backwards, cell >> b & 1 ^ backwards
+                if swapped:
+                    rx, ry = ry, rx
+                place = place << 2 | 3 * rx ^ ry
+                if not ry:
+                    swapped, backwards = swapped ^ 1, backwards ^ rx
+            after = (backwards << 1 | swapped) * cells
+            there[state * cells + cell] = after + place
+            back[state * cells + place] = after + cell
+    return there, back
+
+
+_TO_CURVE, _FROM_CURVE = _curve_tables()
+#: Lowest bit of each step, over all bits that the highest zoom has.
+_SHIFTS = range(MAX_ZOOM - STEP_BITS, -1, -STEP_BITS)
+
+
+def _start(zoom: Column) -> Column:
+    """State at the highest of MAX_ZOOM bits: each bit that the zoom lacks is zero and swaps once."""
+    return (F.lit(MAX_ZOOM) - zoom.cast("int")).bitwiseAND(F.lit(1))
+
+
+def _bits(value: Column, low: int, count: int) -> Column:
+    return F.shiftright(value.cast("long"), low).bitwiseAND(F.lit((1 << count) - 1).cast("long")).cast("int")
+
+
+def _look_up(table: Column, state: Column, index: Column) -> Column:
+    return F.get(table, state * (1 << 2 * STEP_BITS) + index)
+
+
+def _state(found: Column) -> Column:
+    return F.shiftright(found, 2 * STEP_BITS)
+
+
+def _rest(found: Column) -> Column:
+    return found.bitwiseAND(F.lit((1 << 2 * STEP_BITS) - 1))
 
 
 def describe(tile: Column, run_length: Column) -> Column:

@@ -44,6 +44,35 @@ def test_tile_ids_and_back(spark):
     assert one == tileid.describe_one(20, 3)
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 1 << 20])
+def test_runs_equal_a_plain_pass(spark, width):
+    """Merging and the overlap check against one pass over the sorted runs, with islands over many buckets and gaps."""
+    rng = random.Random(width)
+    rows, expected, overlapping = [], [], {}
+    for profile in "abc":
+        at, merged = 0, []
+        for _ in range(60):
+            at += rng.choice([0, 0, 0, 0, 1, 9])
+            run = (profile, at, rng.randint(1, 4), rng.choice(["x", "x", "x", "y", None]))
+            rows.append(run)
+            if merged and merged[-1][1] + merged[-1][2] == at and merged[-1][3] == run[3]:
+                merged[-1] = (profile, merged[-1][1], merged[-1][2] + run[2], run[3])
+            else:
+                merged.append(run)
+            at += run[2]
+        expected += merged
+    order = lambda r: r[:2]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "profile string, tile_id long, run_length long, digest string")
+    assert sorted(map(tuple, runs.merge_runs(df, width=width).collect()), key=order) == sorted(expected, key=order)
+    longer = [(p, t, n + (rng.random() < 0.2), d) for p, t, n, d in rows]
+    for profile in "abc":
+        mine = sorted(r[1:3] for r in longer if r[0] == profile)
+        over = [b for (a, n), (b, _) in zip(mine, mine[1:]) if b < a + n]
+        overlapping[profile] = (len(over), min(over, default=None))
+    got = runs.overlaps(spark.createDataFrame(longer, df.schema), width=width).collect()
+    assert {r["profile"]: (r["overlapping"], r["first_overlap"]) for r in got} == overlapping
+
+
 def test_same_offset_with_alternating_lengths_is_two_blobs(spark):
     df = spark.createDataFrame([(0, 0, 5, 1), (1, 0, 6, 1), (2, 0, 5, 1)], "tile_id long, offset long, length long, run_length long")
     assert tuple(entries.blob_stats(df).first()) == (2, 11)
