@@ -87,36 +87,41 @@ def connected_components(edges: DataFrame) -> DataFrame:
     goes on with the edges between roots. At least half of the nodes that have
     an edge are hooked on average, whatever the shape of the graph, and one is
     always, so the rounds end by themselves; all tables shrink with the nodes.
-    Aggregates at a node with many edges are minima, made before the shuffle;
-    the joins at it are inner ones of a large side to one row for each node,
-    which adaptive execution splits where a node has very many edges.
+    Nodes with very many edges, and roots that very many nodes name, meet
+    their row by ``join_hot``; aggregates at them are minima and counts, made
+    before the shuffle.
     """
     left = materialize(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     rounds: list[DataFrame] = []
-    while left.limit(1).count():
+    while ends := 2 * left.count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         place = lambda c, r=len(rounds): F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("n"))
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first"))
+        near = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("first"), F.count("*").alias("n")), "near")
         up = _roots(materialize(near.select("node", F.least("first", place("node"))["n"].alias("up")), "hooks"))
         rounds.append(up)
-        ends = left.join(up.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(up.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
-        done_with, left = left, materialize(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        discard(done_with)
+        root_of = materialize(near.select("node", "n").join(up, "node"), "near")
+        met = left
+        for end, root in (("a", "x"), ("b", "y")):
+            met = join_hot(met, root_of.select(F.col("node").alias(end), "n", F.col("up").alias(root)), end, ends)
+        done_with, left = left, materialize(met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(done_with, near, root_of)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     done = rounds.pop()
     while rounds:  # roots of a round that had edges left are nodes of the next
-        above = done.select(F.col("node").alias("up"), F.col("up").alias("root"))
-        done = materialize(rounds.pop().join(above, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "labels")
-    lowest = done.groupBy("up").agg(F.min("node").alias("component"))
-    return materialize(done.join(lowest, "up").select("node", "component"), "labels")
+        below, above = rounds.pop(), done.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        named = below.groupBy("up").agg(F.count("*").alias("n")).join(above, "up", "left").select("up", "n", F.coalesce("root", "up").alias("root"))
+        done = materialize(join_hot(below, named, "up", below.count()).select("node", F.col("root").alias("up")), "labels")
+    lowest = done.groupBy("up").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    return materialize(join_hot(done, lowest, "up", done.count()).select("node", "component"), "labels")
 
 
 def _roots(hooks: DataFrame) -> DataFrame:
-    """(node, up) with the root of each node, from a forest of (node, up) whose roots name themselves."""
+    """(node, up) with the root of each node, from a written forest of (node, up) whose roots name themselves."""
+    rows = hooks.count()
     while True:
-        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        stepped = materialize(hooks.join(above, "up").select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "hooks")
+        above = hooks.groupBy("up").agg(F.count("*").alias("n")).join(hooks.select(F.col("node").alias("up"), F.col("up").alias("next")), "up")
+        stepped = materialize(join_hot(hooks, above, "up", rows).select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "hooks")
         discard(hooks)
         settled = stepped.where("moved").limit(1).count() == 0
         hooks = stepped.select("node", "up")

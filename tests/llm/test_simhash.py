@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -99,3 +100,13 @@ def test_components_of_a_path_in_any_order(spark):
     edges = [*zip(path, path[1:], strict=False), *zip(ring, ring[1:] + ring[:1], strict=True)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(path, min(path)), **dict.fromkeys(ring, min(ring))}
+
+
+def test_components_around_hot_nodes(spark):
+    """Two stars of very many leaves, a bridge between them, and pairs apart from them."""
+    from stratatile.llm.common import connected_components
+
+    edges = [(5_000, i) for i in range(3_000)] + [(i, 6_000) for i in range(10_000, 12_500)] + [(2_999, 10_000)] + [(20_000 + 2 * i, 20_001 + 2 * i) for i in range(2_500)]
+    random.Random(5).shuffle(edges)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: (n - n % 2 if n >= 20_000 else 0) for e in edges for n in e}
