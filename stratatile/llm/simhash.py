@@ -11,9 +11,8 @@ shared bytes). Within a list the shared bytes of each pair are tallied, pairs
 that reach 8 - max_bits are kept and verified.
 
 Near-dedup of whole texts by their five-word shingles (``drop_near_duplicates``)
-uses the same index over longer fingerprints, as a radius that reaches a
-similarity of 0.8 leaves none of SimHash's 8 bytes equal for sure; see
-``shingles``.
+uses the same index over a longer SimHash, as a radius that reaches a
+similarity of 0.8 leaves none of 8 bytes equal for sure; see ``shingles``.
 
 Equal fingerprints are one entry of the index. Lists longer than ``block`` are
 cut into tiles of about that many entries, so no task holds more, and a task
