@@ -18,21 +18,26 @@ that a pair at the threshold has for sure, but for a probability far below that
 of the groups, are kept, and verified by the exact similarity of the two whole
 sets.
 
-Texts with equal sets are one entry. Short or sparse lists give their pairs. In
-a dense list each entry is first checked against one centre, twice with
-different centres; all pairs are checked only between components that are still
-apart, in tiles of bounded size that return a spanning forest, not pairs.
+Texts with equal sets are one entry. Short or sparse lists give their pairs, and
+a dense list pairs each entry with one centre. Of these each entry is first
+checked with the FIRST partners with which it shares most lists, so that a large
+group becomes few components by a number of pairs that grows with its entries,
+not their square. Then come the pairs of sparse lists between components that
+are still apart, with other centres for the dense ones. All pairs of a dense
+list are checked only between components that are apart after that, in tiles of
+bounded size that return a spanning forest, not pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, in_slices, in_workers, join_hot, materialize, text_bytes, words_of
@@ -40,8 +45,8 @@ from .common import connected_components, in_slices, in_workers, join_hot, mater
 SEED = 42
 #: Byte positions in a group, bits of a group that are flipped, further bits in a post, shingles that are hashed at a time.
 BYTES, WEAK, SIDE, ROWS = 3, 3, 32, 256
-#: Entries whose posts are dealt at a time, posts a task meets, and the longest list of which all pairs are looked at.
-DEALT, MET, LIST = 4_096, 1_000_000, 64
+#: Entries whose posts are dealt at a time, posts a task meets, the longest list of which all pairs are looked at, and partners of an entry that are checked first.
+DEALT, MET, LIST, FIRST = 4_096, 1_000_000, 64, 8
 #: The same for min-hashes, on which the stage does not rest: positions in a group, shingles at a time.
 DEPTH, STEP = 5, 2_048
 
@@ -233,8 +238,8 @@ def similar_groups(rows: DataFrame, width: int = 5, similarity: float = 0.8, rec
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posts = np.frombuffer(b"".join(x for b in batches for x in b.column(0).to_pylist()), np.int64).reshape(-1, 2)
         a, b, key, node = meets_in(posts[:, 0], posts[:, 1], apart)
-        pairs = pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([]) if len(a) else pa.table({"a": a, "b": b})
-        for t in (pa.table({"key": pa.nulls(len(pairs), pa.int64()), "a": pairs["a"], "b": pairs["b"]}), pa.table({"key": key, "a": node, "b": pa.nulls(len(node), pa.int64())})):
+        pairs = pa.table({"a": a, "b": b, "times": np.ones(len(a), np.int64)}).group_by(["a", "b"]).aggregate([("times", "sum")])
+        for t in (pa.table({"key": pa.nulls(len(pairs), pa.int64()), "a": pairs["a"], "b": pairs["b"], "times": pairs["times_sum"]}), pa.table({"key": key, "a": node, "b": pa.nulls(len(node), pa.int64()), "times": np.ones(len(node), np.int64)})):
             yield from t.combine_chunks().to_batches(100_000)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,19 +251,26 @@ def similar_groups(rows: DataFrame, width: int = 5, similarity: float = 0.8, rec
     entries = materialize(prints.groupBy("same").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("print").alias("print"), F.count("*").alias("copies")), "shingle-entries")
     posted = entries.where(F.col("n") >= fewest).select("node", "print")
     shares = max(4, math.ceil(posted.count() * groups_ * 2**WEAK / MET))
-    meets = materialize(in_workers(in_workers(posted, dealt, "share int, posts binary").repartitionById(shares, "share").select("posts"), met, "key long, a long, b long"), "shingle-meets")
+    meets = materialize(in_workers(in_workers(posted, dealt, "share int, posts binary").repartitionById(shares, "share").select("posts"), met, "key long, a long, b long, times long"), "shingle-meets")
     held = materialize(meets.where("key is not null").select("key", F.col("a").alias("node")).join(entries.select("node", "n").hint("merge"), "node"), "shingle-posts")
-    pairs = meets.where("key is null").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+    sparse = [meets.where("key is null").select(F.col(x).alias("node"), F.col(y).alias("other"), "times", F.lit(True).alias("sparse")) for x, y in ("ab", "ba")]
 
     groups, sets = rows.sparkSession.createDataFrame([], "node long, component long"), None
     for turn in range(3):
         parts = held.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn < 2:
-            some = _around_centres(parts, similarity, turn)
-            near = _tallied((some if turn else some.unionByName(pairs)).distinct(), entries, least, positions, similarity)
+            ways = _around_centres(parts, similarity, turn)
+            some = _ranked(ways if turn else ways.unionByName(sparse[0]).unionByName(sparse[1]))
+            if not turn:
+                some = materialize(some, "shingle-ranked")
+                others = some.where(F.col("rank") > FIRST)
+            some = some.where(F.col("rank") <= FIRST).select("a", "b")
+            near = _tallied(_apart(some.unionByName(others.select("a", "b")).distinct(), groups) if turn else some.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), entries, least, positions, similarity)
             if sets is None:
-                nodes = near.select(F.explode(F.array("a", "b")).alias("row")).unionByName(held.select(F.col("node").alias("row"))).distinct()
-                sets = materialize(in_workers(rows.join(nodes.hint("merge"), "row", "left_semi").select("row", "text"), listed, "node long, print binary, shingles array<long>"), "shingle-sets")
+                nodes = held.select(F.col("node").alias("row"))
+                for t, end in product((near, others), "ab"):
+                    nodes = nodes.unionByName(t.select(F.col(end).alias("row")))
+                sets = materialize(in_workers(rows.join(nodes.distinct().hint("merge"), "row", "left_semi").select("row", "text"), listed, "node long, print binary, shingles array<long>"), "shingle-sets")
             found = _verified(near, sets, similarity)
         else:
             found = _links_in_tiles(parts, sets, similarity, least, positions, apart, block)
@@ -275,10 +287,27 @@ def _fits(a: str, b: str, similarity: float):
 
 
 def _around_centres(parts: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """(a, b, x, y): every member of a list of ``parts(key, node, n, component)`` and the list's centre, if they are apart, and their components."""
+    """(node, other, times, sparse): every member of a list of ``parts(key, node, n, component)`` and the list's centre, if they are apart."""
     centre = parts.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "component").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("component").alias("component"))).alias("c"))
     met = parts.join(centre, "key").select("node", "n", "component", F.col("c.node").alias("other"), F.col("c.n").alias("m"), F.col("c.component").alias("its"))
-    return met.where((F.col("component") != F.col("its")) & _fits("n", "m", similarity)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.least("component", "its").alias("x"), F.greatest("component", "its").alias("y"))
+    return met.where((F.col("component") != F.col("its")) & _fits("n", "m", similarity)).select("node", "other", F.lit(1).cast("long").alias("times"), F.lit(False).alias("sparse"))
+
+
+def _ranked(ways: DataFrame) -> DataFrame:
+    """(a, b, rank) of ``ways(node, other, times, sparse)``: the pair's place among the partners of a node, the better of two, those that share most lists first.
+
+    Pairs of sparse lists are all there, others up to place FIRST: their lists check them again.
+    """
+    pairs = ways.groupBy("node", "other").agg(F.sum("times").alias("times"), F.max("sparse").alias("sparse"))
+    placed = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), F.xxhash64("other"))))
+    return placed.where(F.col("sparse") | (F.col("rank") <= FIRST)).groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.min("rank").alias("rank"))
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b, x, y): the ``pairs(a, b)`` whose components, x and y, differ."""
+    for end, its in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(its)), end, "left").withColumn(its, F.coalesce(its, end))
+    return pairs.where("x <> y").select("a", "b", "x", "y")
 
 
 def _tallied(pairs: DataFrame, entries: DataFrame, least: int, positions: int, similarity: float) -> DataFrame:

@@ -167,3 +167,16 @@ def test_dense_lists_of_near_texts_that_do_not_link(spark):
     df = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
     for block in (32, 512):
         assert {r["row"]: r["component"] for r in shingles.similar_groups(df, block=block).collect()} == dict(enumerate(root))
+
+
+def test_pairs_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    """Near copies, of which nearly every two meet in some list: few pairs for each text are tallied, not all."""
+    rng = random.Random(9)
+    new = lambda: f"w{rng.randrange(10**9)}"
+    base = [new() for _ in range(150)]
+    texts = [" ".join([*base[:i], new(), *base[i + 1 :]]) for i in (rng.randrange(150) for _ in range(240))]
+    seen, tallied = [], shingles._tallied
+    monkeypatch.setattr(shingles, "_tallied", lambda pairs, *rest: seen.append(pairs.count()) or tallied(pairs, *rest))
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
+    assert {r["component"] for r in shingles.similar_groups(df).collect()} == {0}
+    assert seen and sum(seen) <= 16 * len(texts), seen
